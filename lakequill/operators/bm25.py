@@ -6,7 +6,7 @@ building postings needs no shuffle.  Query terms count with multiplicity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BM25_B, BM25_K1
@@ -16,39 +16,42 @@ from ..scale import broadcast_if_small, settle
 _ALL = ""  # pseudo term that every text carries once; it yields N and the total length
 
 
-def run_lengths(df: DataFrame, array: str, out: str, value: str, count: str) -> DataFrame:
-    """Replace an array column by its distinct values with counts, row by row."""
-    return (
-        df.withColumn("_sorted", F.sort_array(array))
-        .withColumn(
-            "_starts",
-            F.when(F.size("_sorted") == 0, F.array().cast("array<int>")).otherwise(
-                F.filter(
-                    F.sequence(F.lit(0), F.greatest(F.size("_sorted") - 1, F.lit(0))),
-                    lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)),
-                )
-            ),
+def let(value: Column, body) -> Column:
+    """Bind an expression once and use it several times inside ``body``.
+
+    A plain column would be inlined into the lambdas and computed per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def run_lengths(array: Column, value: str, count: str) -> Column:
+    """Distinct values of an array with their counts, within the row."""
+
+    def runs(ordered):
+        size = F.size(ordered)
+        opens = F.filter(
+            F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
+            lambda i: (i < size) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))),
         )
-        .withColumn(
-            out,
-            F.transform(
-                "_starts",
+        return let(
+            opens,
+            lambda starts: F.transform(
+                starts,
                 lambda start, j: F.struct(
-                    F.get("_sorted", start).alias(value),
-                    (F.coalesce(F.get("_starts", j + 1), F.size("_sorted")) - start).alias(count),
+                    F.get(ordered, start).alias(value), (F.coalesce(F.get(starts, j + 1), size) - start).alias(count)
                 ),
             ),
         )
-        .drop("_sorted", "_starts")
-    )
+
+    return let(F.sort_array(array), runs)
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, dl, term, tf); each text also yields one row for the pseudo term."""
-    tokenised = docs.select(id_col, tokens(F.col(text_col)).alias("_tokens")).withColumn("dl", F.size("_tokens"))
-    counted = run_lengths(tokenised, "_tokens", "_terms", "term", "tf")
+    counted = docs.select(id_col, run_lengths(tokens(F.col(text_col)), "term", "tf").alias("_terms"))
     marked = F.concat(F.array(F.struct(F.lit(_ALL).alias("term"), F.lit(1).alias("tf"))), F.col("_terms"))
-    return counted.select(id_col, "dl", F.inline(marked))
+    length = F.aggregate("_terms", F.lit(0), lambda total, t: total + t["tf"])
+    return counted.select(id_col, length.alias("dl"), marked.alias("_marked")).select(id_col, "dl", F.inline("_marked"))
 
 
 def query_terms(queries: DataFrame, qid: str, text_col: str) -> DataFrame:

@@ -32,8 +32,11 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     clustered by id, and grams are then counted without another shuffle.
     """
     parts = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), f"{BLANK}+")
-    split = docs.select(id_col, F.filter(parts, lambda w: w != "").alias("_words"))
-    counted = run_lengths(split, "_words", "_runs", "word", "n").select(id_col, F.inline("_runs")).repartition(id_col)
+    runs = run_lengths(F.filter(parts, lambda w: w != ""), "word", "n")
+    # A stated number of partitions keeps the gram work spread: adaptive execution
+    # would merge small word partitions just before they grow fifteen-fold.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = docs.select(id_col, F.inline(runs)).repartition(spread, id_col)
     padded = counted.select(id_col, "n", F.concat(F.lit(" "), F.col("word"), F.lit(" ")).alias("_word"))
     return (
         padded.select(id_col, "n", F.explode(word_grams(F.col("_word"))).alias("gram"))
