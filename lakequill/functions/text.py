@@ -18,11 +18,7 @@ from ..fixed_values import MATCH_KEY_DROP, MOJIBAKE_PATTERN, NOT_ENOUGH_DATA, TO
 BLANK = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 # Letters that fold to more than one letter.
-_WIDE_FOLDS = {
-    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
-    "ĳ": "ij", "ŀ": "l·", "ŉ": "ʼn", "ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz",
-    "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "№": "no", "…": "...",
-}
+_WIDE_FOLDS = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "№": "no", "…": "..."}
 
 
 def _is_kept(ch: str) -> bool:
