@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-FAMILIES = ("text", "retrieval", "vectors", "metrics", "tables", "questions", "answers", "lake", "layout", "events")
+FAMILIES = ("text", "retrieval", "vectors", "metrics", "tables", "questions", "answers", "lake", "layout", "chunksets")
 
 
 def query(name: str, sql: str | None = None):

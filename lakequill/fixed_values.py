@@ -137,3 +137,16 @@ EMPTY_TEXT_CHARS = 30
 SCANNED_PDF_CHARS = 200
 LOW_OCR_CONFIDENCE = 40.0
 AUDIT_SAMPLE_CHARS = 4000
+
+# One-column headers that are labels, never list entries.
+HEADER_WORDS = (
+    "id", "gene", "name", "value", "count", "score", "type", "date", "label",
+    "key", "item", "index", "no", "stt", "symbol", "sample", "peptide", "protein",
+)
+
+# Roster questions.
+ROSTER_GROUP_TERMS = ("project", "du an")
+ROSTER_SIZE_TERMS = ("thanh vien", "member")
+ROSTER_MAX_TERMS = ("most", "highest", "largest")
+ROSTER_MIN_TERMS = ("fewest", "least", "smallest", "lowest")
+ROSTER_EXCLUDE_TERMS = ("sv moi", "new student", "moi tuyen")

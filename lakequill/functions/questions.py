@@ -248,3 +248,21 @@ def is_show_image(key: Column) -> Column:
 
 def is_scholarship_solver(key: Column) -> Column:
     return F.contains(key, F.lit("hoc bong")) & has_any(key, ("suat", "so luong"))
+
+
+def roster_direction(key: Column) -> Column:
+    """max or min of a superlative; Vietnamese splits it into a quantity word and "nhat"."""
+    return (
+        F.when(has_word(key, *V.ROSTER_MAX_TERMS), F.lit("max"))
+        .when(has_word(key, *V.ROSTER_MIN_TERMS), F.lit("min"))
+        .when(has_word(key, "nhat") & has_word(key, "it"), F.lit("min"))
+        .when(has_word(key, "nhat") & has_word(key, "nhieu"), F.lit("max"))
+    )
+
+
+def is_roster_question(key: Column) -> Column:
+    groups = (V.ROSTER_GROUP_TERMS, V.ROSTER_SIZE_TERMS, V.ROSTER_EXCLUDE_TERMS)
+    out = roster_direction(key).isNotNull()
+    for terms in groups:
+        out = out & has_word(key, *terms)
+    return out

@@ -10,20 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BM25_B, BM25_K1
+from ..functions.arrays import let
 from ..functions.text import tokens
 from ..scale import broadcast_if_small, settle
 
 _ALL = ""  # pseudo term that every text carries once; it yields N and the total length
 
 
-def let(value: Column, body) -> Column:
-    """Bind an expression once and use it several times inside ``body``.
-
-    A plain column would be inlined into the lambdas and computed per element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def run_lengths(array: Column, value: str, count: str) -> Column:
     """Distinct values of an array with their counts, within the row."""
 
