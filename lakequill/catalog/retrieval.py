@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.arrays import rows_of
 from ..functions.questions import profile
 from ..functions.text import match_key, words
 from ..operators import chunking as C
@@ -29,9 +30,9 @@ def questions(spark, folder):
 
 
 def lake(spark, folder):
-    """Manifest and chunks of the document table."""
+    """Manifest and chunk table; chunks are read several times, so they are built once."""
     manifest = documents_as_files(documents(spark, folder))
-    return manifest, C.lake_chunks(manifest)
+    return manifest, settle(C.lake_chunks(manifest))
 
 
 # ---------------------------------------------------------------- BM25
@@ -249,7 +250,7 @@ def keyword_overlap_topk(spark, folder):
     which turns containment in texts into an equi-join on words.
     """
     asks = table(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(words(match_key(F.col("text"))))).alias("token"))
-    held = settle(documents(spark, folder).select("doc_id", F.explode(F.array_distinct(words(match_key(F.col("text"))))).alias("word")))
+    held = settle(rows_of(documents(spark, folder), ["doc_id"], F.array_distinct(words(match_key(F.col("text")))), "word"))
     vocabulary = held.select("word").distinct().withColumn("w", F.col("word"))
     hits = contains_pairs(vocabulary, asks.select("token").distinct(), hid="word", hay_col="w", nid="token", needle_col="token", width=3)
     per_token = held.join(hits, "word").select("doc_id", "token").distinct()

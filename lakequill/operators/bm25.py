@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BM25_B, BM25_K1
-from ..functions.arrays import let
+from ..functions.arrays import let, rows_of
 from ..functions.text import tokens
 from ..scale import broadcast_if_small, settle
+from .product import sparse_product
 
 _ALL = ""  # pseudo term that every text carries once; it yields N and the total length
 
@@ -44,13 +45,13 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     counted = docs.select(id_col, run_lengths(tokens(F.col(text_col)), "term", "tf").alias("_terms"))
     marked = F.concat(F.array(F.struct(F.lit(_ALL).alias("term"), F.lit(1).alias("tf"))), F.col("_terms"))
     length = F.aggregate("_terms", F.lit(0), lambda total, t: total + t["tf"])
-    return counted.select(id_col, length.alias("dl"), marked.alias("_marked")).select(id_col, "dl", F.inline("_marked"))
+    return counted.select(id_col, length.alias("dl"), marked.alias("_marked")).select(id_col, "dl", F.inline_outer("_marked"))
 
 
 def query_terms(queries: DataFrame, qid: str, text_col: str) -> DataFrame:
     """(qid, term, qtf): the multiplicity of a term in the query is kept."""
     return (
-        queries.select(qid, F.explode(tokens(F.col(text_col))).alias("term"))
+        rows_of(queries, [qid], tokens(F.col(text_col)), "term")
         .groupBy(qid, "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -92,11 +93,6 @@ def _score(postings: DataFrame, wanted: DataFrame, id_col: str, qid: str, k1: fl
     weights = wanted.join(freq, "term").select(
         qid, "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1)).alias("w")
     )
-    tf = F.col("tf")
     length = F.greatest(F.col("dl"), F.lit(1)) / F.greatest(avgdl, F.lit(1e-6))
-    part = F.col("w") * tf / (tf + k1 * (1 - b + b * length))
-    return (
-        postings.join(broadcast_if_small(weights), "term")
-        .groupBy(qid, id_col)
-        .agg(F.sum(part).alias("score"))
-    )
+    saturation = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * length))
+    return sparse_product(postings.select(id_col, "term", saturation.alias("x")), settle(weights), id_col=id_col, qid=qid, unit="term")

@@ -9,20 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rows_of
 from ..functions.text import BLANK
 from ..scale import broadcast_if_small, settle
 from .bm25 import run_lengths
+from .product import sparse_product
 
 
-def word_grams(word: Column, low: int = 3, high: int = 5) -> Column:
-    """All grams of one space-padded word; a word shorter than a size has no gram of that size."""
-    size = F.length(word)
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(low), F.least(F.lit(high), size)),
-            lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(word, i, n)),
-        )
-    )
+def word_grams(words: DataFrame, keep: list[str], word: str) -> DataFrame:
+    """(keep, gram): all grams of three to five letters of space-padded words.
+
+    A word shorter than a size has no gram of that size.  Positions are
+    exploded first and the three substrings taken per position, so everything
+    stays in generated code; lambdas over arrays are several times slower.
+    """
+    w, size, i = F.col(word), F.length(word), F.col("_i")
+    at = rows_of(words, [*keep, word], F.sequence(F.lit(1), size - 2), "_i")
+    cuts = [F.substring(w, i, F.lit(3))] + [F.when(i <= size - n + 1, F.substring(w, i, F.lit(n))) for n in (4, 5)]
+    return rows_of(at, keep, F.array(*cuts), "gram")
 
 
 def gram_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -36,10 +40,10 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # A stated number of partitions keeps the gram work spread: adaptive execution
     # would merge small word partitions just before they grow fifteen-fold.
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = docs.select(id_col, F.inline(runs)).repartition(spread, id_col)
+    counted = docs.select(id_col, F.inline_outer(runs)).filter(F.col("word").isNotNull()).repartition(spread, id_col)
     padded = counted.select(id_col, "n", F.concat(F.lit(" "), F.col("word"), F.lit(" ")).alias("_word"))
     return (
-        padded.select(id_col, "n", F.explode(word_grams(F.col("_word"))).alias("gram"))
+        word_grams(padded, [id_col, "n"], "_word")
         .groupBy(id_col, "gram")
         .agg(F.sum("n").alias("tf"))
     )
@@ -56,7 +60,8 @@ def chargram_cosine(
     fit_includes_query: bool = False,
 ) -> DataFrame:
     """(qid, id, score) for every text that shares a gram with the query."""
-    grams = settle(gram_counts(docs, id_col, text_col))
+    # Grams of one text stay together, so that products of a text are added up in one step.
+    grams = settle(gram_counts(docs, id_col, text_col).sortWithinPartitions(id_col))
     n = docs.agg(F.count("*").alias("n")).scalar()
     freq = grams.groupBy("gram").agg(F.count("*").alias("df"))
     wanted = settle(gram_counts(queries, qid, query_col))
@@ -70,8 +75,9 @@ def chargram_cosine(
     asked = wanted.join(idf, "gram").select(qid, "gram", (F.col("tf") * F.col("idf")).alias("qw"))
     asked_norm = asked.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     asked = asked.join(asked_norm, qid).select(qid, "gram", (F.col("qw") / F.col("qnorm")).alias("qw"))
-    dots = weighted.join(broadcast_if_small(asked), "gram").groupBy(qid, id_col).agg(F.sum(F.col("w") * F.col("qw")).alias("_dot"))
-    return dots.join(norms, id_col).select(qid, id_col, (F.col("_dot") / F.col("norm")).alias("score"))
+    asked = settle(asked.withColumnRenamed("qw", "w"))
+    dots = sparse_product(weighted.withColumnRenamed("w", "x"), asked, id_col=id_col, qid=qid, unit="gram")
+    return dots.join(norms, id_col).select(qid, id_col, (F.col("score") / F.col("norm")).alias("score"))
 
 
 def _with_query_in_corpus(grams: DataFrame, freq: DataFrame, wanted: DataFrame, n: Column, id_col: str, qid: str) -> DataFrame:
@@ -90,14 +96,13 @@ def _with_query_in_corpus(grams: DataFrame, freq: DataFrame, wanted: DataFrame,
     )
     asked_norm = asked.groupBy(qid).agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf_q")) ** 2)).alias("qnorm"))
     asked = asked.join(asked_norm, qid)
-    tf, high, low = F.col("tf"), F.col("idf_q"), F.col("idf_0")
-    shared = (
-        grams.join(broadcast_if_small(asked), "gram")
-        .groupBy(qid, id_col)
-        .agg(
-            F.sum(tf * high * F.col("qtf") * high / F.col("qnorm")).alias("_dot"),
-            F.sum(tf * tf * (high * high - low * low)).alias("_shift"),
-        )
+    high, low = F.col("idf_q"), F.col("idf_0")
+    asked = settle(asked.select(qid, "gram", (high * high * F.col("qtf") / F.col("qnorm")).alias("w"), (high * high - low * low).alias("shift")))
+    names = dict(id_col=id_col, qid=qid, unit="gram")
+    dots = sparse_product(grams.select(id_col, "gram", F.col("tf").alias("x")), asked.select(qid, "gram", "w"), **names)
+    shifts = sparse_product(
+        grams.select(id_col, "gram", (F.col("tf") * F.col("tf")).alias("x")), asked.select(qid, "gram", F.col("shift").alias("w")), **names
     )
-    norm = F.sqrt(F.col("_base") + F.col("_shift"))
+    shared = dots.withColumnRenamed("score", "_dot").join(shifts.withColumnRenamed("score", "_shift"), [qid, id_col], "left")
+    norm = F.sqrt(F.col("_base") + F.coalesce("_shift", F.lit(0.0)))
     return shared.join(norms, id_col).select(qid, id_col, (F.col("_dot") / norm).alias("score"))

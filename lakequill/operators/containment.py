@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import rows_of
 from ..functions.text import BLANK
 from ..scale import broadcast_if_small, settle
 
@@ -55,7 +56,7 @@ def contains_pairs(hay: DataFrame, needles: DataFrame, *, hid: str, hay_col: str
     for w in widths:
         needle_units = F.when(own == w, grams(F.col(needle_col), w)).otherwise(needle_units)
     pairs = anchored_candidates(
-        hay.select(hid, F.explode(hay_units).alias("unit")), needles.select(nid, F.explode(needle_units).alias("unit")), hid, nid
+        rows_of(hay, [hid], hay_units, "unit"), rows_of(needles, [nid], needle_units, "unit"), hid, nid
     )
     return _verify(pairs, hay, needles, hid, hay_col, nid, needle_col)
 
@@ -69,7 +70,7 @@ def passages_in_texts(texts: DataFrame, passages: DataFrame, *, hid: str, hay_co
     """
     parts = F.split(F.col(needle_col), f"{BLANK}+")
     inner = passages.withColumn("_inner", F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))))
-    hay_words = texts.select(hid, F.explode(F.array_distinct(F.split(F.col(hay_col), f"{BLANK}+"))).alias("unit"))
+    hay_words = rows_of(texts, [hid], F.array_distinct(F.split(F.col(hay_col), f"{BLANK}+")), "unit")
     long = inner.filter(F.size("_inner") > 0).select(nid, F.explode("_inner").alias("unit"))
     pairs = anchored_candidates(hay_words, long, hid, nid)
     pieces = F.filter(parts, lambda p: p != "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..config import EngineConfig
+from ..functions.arrays import rows_of
 from ..functions.questions import is_counting_question, needs_pattern_set
 from ..functions.text import match_key, tokens
 from ..scale import broadcast_if_small, settle
@@ -60,7 +61,7 @@ def rare_keyword_files(profiles: DataFrame, chunks: DataFrame, *, file_col: str
         .filter((F.length("term") >= min_len) & ~F.contains("term", F.lit(" ")))
         .distinct()
     )
-    held = chunks.select(file_col, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    held = rows_of(chunks, [file_col], F.array_distinct(tokens(F.col("text"))), "term")
     terms = wanted.select("term").distinct()
     holders = settle(held.join(broadcast_if_small(terms), "term").distinct())
     rare = holders.groupBy("term").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_files)

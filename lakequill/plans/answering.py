@@ -68,7 +68,7 @@ def run(questions: DataFrame, manifest: DataFrame, config: EngineConfig = Engine
     """Questions (qid, question, answer_type) over a manifest with ``content``."""
     providers = providers or Providers()
     profiles = analyse(questions, providers)
-    chunks = lake_chunks(manifest, config.chunk_chars, config.chunk_overlap)
+    chunks = settle(lake_chunks(manifest, config.chunk_chars, config.chunk_overlap))
     fused = settle(chunk_scores(profiles, chunks, config.vector_weight, config.bm25_weight))
     candidates = settle(retrieve(profiles, manifest, chunks, config, fused))
     best = top_chunks(fused, chunks)
