@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .config import ChunkBenchConfig, EngineConfig
 from .operators import answering as O
 from .plans import answering, chunk_bench
+from .session import ship_package
 from .providers.base import HashingEmbedder, LeadingSummary
 from .sources import lake, sinks, tabular
 
@@ -43,6 +44,7 @@ def _questions(spark: SparkSession, path: str):
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("lakequill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship_package(spark)
     manifest = lake.load_or_build_manifest(spark, args.data_lake, f"{args.output}/manifest", args.rebuild_index)
     if args.command == "audit":
         rows = O.audit(manifest)

@@ -78,11 +78,12 @@ def passages_in_texts(texts: DataFrame, passages: DataFrame, *, hid: str, hay_co
         nid, F.reduce(pieces, F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a)).alias("_piece")
     )
     if not short.isEmpty():
-        vocabulary = settle(hay_words.select("unit").distinct())
+        vocabulary = settle(hay_words.select(F.col("unit").alias("_word")).distinct())
         hits = contains_pairs(
-            vocabulary.withColumn("_w", F.col("unit")), short, hid="unit", hay_col="_w", nid=nid, needle_col="_piece"
+            vocabulary.withColumn("_text", F.col("_word")), short, hid="_word", hay_col="_text", nid=nid, needle_col="_piece"
         )
-        pairs = pairs.unionByName(hay_words.join(hits, "unit").select(hid, nid).distinct())
+        held = hay_words.withColumnRenamed("unit", "_word").join(hits, "_word")
+        pairs = pairs.unionByName(held.select(hid, nid).distinct())
     return _verify(pairs, texts, passages, hid, hay_col, nid, needle_col)
 
 
