@@ -14,7 +14,7 @@ from ..scale import broadcast_if_small, settle
 from .bm25 import bm25_scores
 from .chargram import chargram_cosine
 from .direct import direct_matches
-from .ranking import dominant_signal, top_k
+from .ranking import dominant_signal, rank_complete, top_k
 
 DIGITS = 9  # scores are rounded before ranking, so that summation order cannot change a rank
 
@@ -151,9 +151,7 @@ def _cut(merged: DataFrame, best: DataFrame, asked: DataFrame, config: EngineCon
     widest = max(config.top_k, config.cross_file_top_k)
     ranked = top_k(merged.join(passing, "qid"), ["qid"], order, widest).filter(F.col("rank") <= F.col("_k"))
     columns = ["qid", "file_id", "relative_path", "modality", "extension", "score", "reason", "rank"]
-    from pyspark.sql import Window as W
-
-    complete = whole.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
+    complete = rank_complete(whole, ["qid"], "file_id", order, config.max_context_files_wildcard)
     return ranked.select(*columns).unionByName(complete.select(*columns))
 
 
@@ -205,9 +203,7 @@ def retrieve_sum_pooled(
     order = [F.desc("score"), F.asc("relative_path")]
     sets = asked.filter(needs_pattern_set(F.col("key"), F.col("_hints"))).select("qid", "modality_hint")
     kept = pooled.join(sets, "qid").filter(F.col("_pattern") & ((F.col("modality_hint") != "image") | (F.col("modality") == "image")))
-    from pyspark.sql import Window as W
-
-    full = kept.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
+    full = rank_complete(kept, ["qid"], "file_id", order, EngineConfig().max_context_files_wildcard)
     rest = top_k(pooled.join(kept.select("qid").distinct(), "qid", "left_anti"), ["qid"], order, top)
     columns = ["qid", "file_id", "relative_path", "modality", "score", "reason", "rank"]
     return rest.select(*columns).unionByName(full.select(*columns))
