@@ -72,11 +72,11 @@ def chargram_cosine(
     weighted = grams.join(broadcast_if_small(idf), "gram").select(id_col, "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # A query gram that the corpus never saw has no weight.
-    asked = wanted.join(idf, "gram").select(qid, "gram", (F.col("tf") * F.col("idf")).alias("qw"))
+    asked = wanted.join(idf, "gram").select(qid, "gram", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
     asked_norm = asked.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    asked = asked.join(asked_norm, qid).select(qid, "gram", (F.col("qw") / F.col("qnorm")).alias("qw"))
-    asked = settle(asked.withColumnRenamed("qw", "w"))
-    dots = sparse_product(weighted.withColumnRenamed("w", "x"), asked, id_col=id_col, qid=qid, unit="gram")
+    # The text's idf is folded into the query weight, so the product reads plain counts in their stored order.
+    asked = settle(asked.join(asked_norm, qid).select(qid, "gram", (F.col("qw") / F.col("qnorm") * F.col("idf")).alias("w")))
+    dots = sparse_product(grams.select(id_col, "gram", F.col("tf").alias("x")), asked, id_col=id_col, qid=qid, unit="gram")
     return dots.join(norms, id_col).select(qid, id_col, (F.col("score") / F.col("norm")).alias("score"))
 
 

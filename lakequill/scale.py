@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .session import checkpoint_dir
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
