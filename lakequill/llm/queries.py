@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..scale import table
 from ..session import ship_package
+from . import quality
 from .mixing import mix_sources
 from .shared import LOWER, UPPER
+from .simhash import simhash_groups
 from .url_filter import filter_urls
 
 QUERIES: dict = {}
@@ -68,3 +70,17 @@ SELECT doc_id, size, source_size, target, CAST(full_epochs * size + CASE WHEN fu
 def op6_mix_sources(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_quality_ranker")
+def op3_quality_ranker(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ranker = quality.fit(docs, table(spark, folder, "labels").filter(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs, ranker)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op5_simhash")
+def op5_simhash(spark, folder):
+    groups = simhash_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
