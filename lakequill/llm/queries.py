@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..scale import table
 from ..session import ship_package
 from . import quality
+from .line_dedup import drop_recurring_lines
 from .mixing import mix_sources
 from .shared import LOWER, UPPER
 from .simhash import simhash_groups
@@ -84,3 +85,25 @@ def op3_quality_ranker(spark, folder):
 def op5_simhash(spark, folder):
     groups = simhash_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_line_templates", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+x AS (SELECT rid, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM d WHERE text IS NOT NULL),
+t AS (SELECT rid, line, list_filter(string_split_regex(regexp_replace(line, '[^ \t\r\f\x0B]*[0-9][^ \t\r\f\x0B]*', '<*>', 'g'), '[ \t\r\f\x0B]+'), lambda y: y <> '') AS tokens FROM x),
+l AS (SELECT *, len(tokens) AS n, list_slice(tokens, 1, 3) AS head FROM t WHERE len(tokens) >= 3),
+k AS (SELECT n, head, line, any_value(tokens) AS tokens, count(*) AS docs FROM l GROUP BY ALL),
+p AS (SELECT n, head, line, docs, unnest(tokens) AS token, unnest(range(n)) AS pos FROM k),
+c AS (SELECT n, head, pos, token FROM p GROUP BY ALL HAVING sum(docs) >= 5 AND token <> '<*>'),
+s AS (SELECT p.n, p.head, p.line, any_value(p.docs) AS docs, count(*) AS n_fixed, list(p.pos || ':' || p.token ORDER BY p.pos) AS shape
+  FROM p JOIN c USING (n, head, pos, token) GROUP BY p.n, p.head, p.line HAVING count(*) >= 0.7 * p.n),
+r AS (SELECT line FROM s JOIN (SELECT n, head, shape FROM s GROUP BY ALL HAVING sum(docs) >= 5) USING (n, head, shape)),
+g AS (SELECT rid, list(line) AS gone FROM x JOIN (SELECT DISTINCT line FROM r) USING (line) GROUP BY rid),
+j AS (SELECT d.*, gone, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda y: gone IS NULL OR NOT list_contains(gone, y)) AS kept FROM d LEFT JOIN g USING (rid)),
+a AS (SELECT *, gone IS NOT NULL AND length(text) - length(array_to_string(kept, chr(10))) <= 0.5 * length(text) AS act FROM j)
+SELECT doc_id, CAST(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(lines) END AS INT) AS n_lines,
+  CAST(CASE WHEN act THEN len(lines) - len(kept) ELSE 0 END AS INT) AS n_dropped,
+  md5(CASE WHEN act THEN array_to_string(kept, chr(10)) ELSE coalesce(text, '') END) AS kept_md5 FROM a""")
+def op7_line_templates(spark, folder):
+    kept = drop_recurring_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
