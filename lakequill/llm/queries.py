@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..scale import table
 from ..session import ship_package
-from . import quality
+from . import bpe, quality
 from .line_dedup import drop_recurring_lines
 from .mixing import mix_sources
 from .shared import LOWER, UPPER
 from .simhash import simhash_groups
 from .url_filter import filter_urls
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -107,3 +109,10 @@ SELECT doc_id, CAST(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(lines) E
 def op7_line_templates(spark, folder):
     kept = drop_recurring_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "digest.n_tokens", "digest.ids_sha256", "digest.decoded_sha256")
