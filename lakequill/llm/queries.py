@@ -14,6 +14,7 @@ from .line_dedup import drop_recurring_lines
 from .mixing import mix_sources
 from .shared import LOWER, UPPER
 from .simhash import simhash_groups
+from .substring_dedup import cut_repeats
 from .url_filter import filter_urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -116,3 +117,9 @@ def op4_byte_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     coded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return coded.select("doc_id", "digest.n_tokens", "digest.ids_sha256", "digest.decoded_sha256")
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, folder):
+    cut = cut_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
