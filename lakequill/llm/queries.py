@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..scale import table
 from ..session import ship_package
 from . import bpe, quality
+from .html_extract import extract_text
+from .html_extract import fit as fit_pages
 from .line_dedup import drop_recurring_lines
 from .mixing import mix_sources
 from .shared import LOWER, UPPER
@@ -123,3 +125,10 @@ def op4_byte_bpe(spark, folder):
 def op10_substring_dedup(spark, folder):
     cut = cut_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = extract_text(pages, fit_pages(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
