@@ -28,6 +28,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,7 +204,7 @@ class Codec:
     def decode(self, ids: pa.Array) -> list[bytes | None]:
         """Bytes of each list of ids."""
         ids = ids.cast(pa.list_(pa.int64()))
-        flat, owner = ids.flatten(), pa.compute.list_parent_indices(ids)
+        flat, owner = ids.flatten(), pc.list_parent_indices(ids)
         self.db.register("given", pa.table({"doc": owner, "pos": np.arange(len(flat)), "id": flat}))
         found = dict(self.db.execute(_DECODE).fetchall())
         self.db.unregister("given")

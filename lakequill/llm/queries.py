@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..scale import table
 from ..session import ship_package
 from . import bpe, quality
+from .embedding_dedup import embedding_groups
 from .html_extract import extract_text
 from .html_extract import fit as fit_pages
 from .line_dedup import drop_recurring_lines
@@ -132,3 +133,8 @@ def op9_html_text(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = extract_text(pages, fit_pages(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op8_embedding_groups")
+def op8_embedding_groups(spark, folder):
+    return embedding_groups(table(spark, folder, "embeddings"))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..scale import broadcast_if_small, settle
 from .arrowtext import each_bytes
+from .cells import split_cells, whole_groups
 from .components import components
 from .shared import col, free_name
 
@@ -91,7 +92,7 @@ def _cells(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("fp", F.explode_outer(F.array(*keys)).alias("cell"))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def connected_rows(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest row index that the links (a, b) connect each of n rows to."""
     root = np.arange(n)
     while True:
@@ -132,8 +133,6 @@ def _survivors(group: np.ndarray, side: np.ndarray, fp: np.ndarray, table: np.nd
 
 def _linker(radius: int, refs: np.ndarray):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-
         def work(rows: pa.Table) -> pa.RecordBatch:
             cell, part = rows["cell"].to_numpy(), rows["part"].to_numpy()
             fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
@@ -143,25 +142,13 @@ def _linker(radius: int, refs: np.ndarray):
             group, side, fp, table = group[order], side[order], fp[order], table[order]
             pairs = list(_survivors(group, side, fp, table, radius))
             a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-            root = _roots(len(fp), a, b)
+            root = connected_rows(len(fp), a, b)
             move = np.flatnonzero(root != np.arange(len(fp)))
             ids = fp.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ids[root[move]]), pa.array(ids[move])], ["a", "b"])
 
-        def same_last(rows: pa.Table) -> int:
-            """Where the last group of sorted rows begins."""
-            cell, part = rows["cell"].to_numpy(), rows["part"].to_numpy()
-            other = np.flatnonzero((cell != cell[-1]) | (part != part[-1]))
-            return int(other[-1]) + 1 if len(other) else 0
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            kept = rows if kept is None else pa.concat_tables([kept, rows])
-            if kept.num_rows and (cut := same_last(kept)):
-                yield work(kept.slice(0, cut))
-                kept = kept.slice(cut)
-        if kept is not None and kept.num_rows:
-            yield work(kept)
+        for rows in whole_groups(batches, ["cell", "part"]):
+            yield work(rows)
 
     return link
 
@@ -169,19 +156,7 @@ def _linker(radius: int, refs: np.ndarray):
 def linked_fingerprints(prints: DataFrame, radius: int = RADIUS, block_rows: int = 4000) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints (column fp, distinct) within ``radius`` bits."""
     cells = _cells(prints, radius)
-    shared = cells.groupBy("cell").count().filter("count > 1")
-    rows = cells.join(shared, "cell")
-    parts = F.ceil(F.col("count") / block_rows).cast("int")
-    rows = rows.withColumn("n", parts).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("n")).cast("int"))
-    # part i meets itself (side 0) and each other part j (side 1 for the lower, 2 for the higher)
-    meet = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda j: F.struct(
-            (F.least(F.col("mine"), j) * F.col("n") + F.greatest(F.col("mine"), j)).cast("long").alias("part"),
-            F.when(j == F.col("mine"), 0).when(F.col("mine") < j, 1).otherwise(2).alias("side"),
-        ),
-    )
-    rows = rows.select("cell", "fp", F.explode_outer(meet).alias("m")).select("cell", "m.part", "m.side", "fp")
+    rows = split_cells(cells, "fp", block_rows).select("cell", "part", "side", "fp")
     dealt = rows.repartition("cell", "part").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_linker(radius, pivots()), "a long, b long")
 
