@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..scale import table
 from ..session import ship_package
 from . import bpe, quality
+from .ann import nearest
 from .embedding_dedup import embedding_groups
 from .html_extract import extract_text
 from .html_extract import fit as fit_pages
@@ -138,3 +139,9 @@ def op9_html_text(spark, folder):
 @query("op8_embedding_groups")
 def op8_embedding_groups(spark, folder):
     return embedding_groups(table(spark, folder, "embeddings"))
+
+
+@query("op1_nearest")
+def op1_nearest(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 50 == 0)
