@@ -145,61 +145,33 @@ class Codec:
         for at in range(0, len(fresh), _CALL):
             self._recursive(fresh[at : at + _CALL])
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
-        """For each text, (ids, decoded) of its pieces in order."""
-        batch: list[list[str]] = []
-        size = 0
-
-        def flush():
-            if len(self.new) > _KEEP:
-                self.old, self.new = self.new, {}
-            self.learn(set().union(*batch))
-            known = self.new.__getitem__
-            for pieces in batch:
-                yield list(map(known, pieces))
-
-        for text in texts:
-            batch.append(self.pattern.findall(text))
-            size += len(batch[-1])
-            if size > _STREAM:
-                yield from flush()
-                batch, size = [], 0
-        yield from flush()
-
-    def parts(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
-        """(ids, decoded) of the pieces of one very long text, a stretch at a time."""
-        found = (m.group() for m in self.pattern.finditer(text))
-        while pieces := list(islice(found, _STREAM)):
-            yield next(self.encode_pieces(pieces))
-
-    def encode_pieces(self, pieces: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
+    def coded(self, texts: list[list[str]]) -> list[list[tuple[bytes, bytes]]]:
+        """For each list of pieces, their (ids, decoded)."""
         if len(self.new) > _KEEP:
             self.old, self.new = self.new, {}
-        self.learn(set(pieces))
-        yield list(map(self.new.__getitem__, pieces))
+        self.learn(set().union(*texts))
+        known = self.new.__getitem__
+        return [list(map(known, pieces)) for pieces in texts]
 
     def each(self, texts: Iterator[str | None]) -> Iterator[Iterator[list[tuple[bytes, bytes]]]]:
-        """For each text, its stretches; short texts share their queries."""
-        near: list[str] = []
+        """For each text, (ids, decoded) of its pieces, in stretches; short texts share their queries."""
+        near: list[list[str]] = []
         size = 0
-
-        def flush():
-            for x in self.encode(near):
-                yield iter((x,))
-
         for text in texts:
             text = text or ""
+            if len(text) <= 2_000_000:
+                near.append(self.pattern.findall(text))
+                size += len(near[-1])
+                if size <= _STREAM:
+                    continue
+            for pieces in self.coded(near):
+                yield iter((pieces,))
+            near, size = [], 0
             if len(text) > 2_000_000:
-                yield from flush()
-                near, size = [], 0
-                yield self.parts(text)
-                continue
-            near.append(text)
-            size += len(text)
-            if size > 1_000_000:
-                yield from flush()
-                near, size = [], 0
-        yield from flush()
+                found = (m.group() for m in self.pattern.finditer(text))
+                yield (self.coded([pieces])[0] for pieces in iter(lambda: list(islice(found, _STREAM)), []))  # noqa: B023
+        for pieces in self.coded(near):
+            yield iter((pieces,))
 
     def decode(self, ids: pa.Array) -> list[bytes | None]:
         """Bytes of each list of ids."""
@@ -259,16 +231,19 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
     return rows.withColumn(out, bytes_of(col(ids_col)))
 
 
-_DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def _digest(keep_ids: bool) -> T.StructType:
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "digest") -> DataFrame:
-    """``docs`` with n_tokens and the hashes of ids (little-endian 32-bit) and decoded bytes, without keeping the ids."""
+def encode_and_check(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "coded", keep_ids: bool = True) -> DataFrame:
+    """``docs`` with a struct: n_tokens, hashes of the ids (little-endian 32-bit) and of the decoded bytes, and the ids if wished."""
     shared = _share(docs, path)
+    kind = _digest(keep_ids)
 
-    @F.arrow_udf(_DIGEST)
-    def digest(texts: pa.Array) -> pa.Array:
-        counts, coded, plain = [], [], []
+    @F.arrow_udf(kind)
+    def coded(texts: pa.Array) -> pa.Array:
+        counts, of_ids, of_bytes, blobs = [], [], [], []
         for stretches in _codec(shared, pattern).each(x.as_py() for x in texts):
             n, a, b = 0, hashlib.sha256(), hashlib.sha256()
             for stretch in stretches:
@@ -276,9 +251,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
                 n += len(blob) // 4
                 a.update(blob)
                 b.update(b"".join([decoded for _, decoded in stretch]))
+                if keep_ids:
+                    blobs.append(blob)
             counts.append(n)
-            coded.append(a.hexdigest())
-            plain.append(b.hexdigest())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(coded), pa.array(plain)], fields=[pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())])
-
-    return docs.withColumn(out, digest(col(text_col)))
+            of_ids.append(a.hexdigest())
+            of_bytes.append(b.hexdigest())
+        columns = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+        if keep_ids:
+            flat = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), flat))
+        return pa.StructArray.from_arrays(columns, names=kind.names)
+
+    return docs.withColumn(out, coded(col(text_col)))

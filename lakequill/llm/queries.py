@@ -119,8 +119,8 @@ def op7_line_templates(spark, folder):
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "digest.n_tokens", "digest.ids_sha256", "digest.decoded_sha256")
+    coded = bpe.encode_and_check(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
+    return coded.select("doc_id", "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")
 
 
 @query("op10_substring_dedup")

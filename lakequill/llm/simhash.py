@@ -8,9 +8,12 @@ in a cell, rows are sorted by the first coordinate, only rows within the radius
 of it are paired, pairs with a larger difference in another coordinate are
 discarded, and the survivors are verified on the fingerprints.
 
-Cells keep the work far from all pairs, and lose none: the 64 bits are cut into
-``radius + 2`` blocks, so two fingerprints within the radius agree on at least
-two of them; a row goes to the cell of every pair of blocks.  A cell beyond
+Cells keep the work far from all pairs.  For a small radius they lose none: the
+64 bits are cut into ``radius + 2`` blocks, so two fingerprints within the radius
+agree on at least two of them; a row goes to the cell of every pair of blocks.
+For texts of a given similarity (``similar_groups``) four words of 64 bits are
+taken and the radius is wide; cells are then bits drawn at random, as many sets
+of them as find all but ``MISS`` of the pairs at that similarity.  A cell beyond
 ``block_rows`` rows is split, and each two of its parts meet in a task of their
 own.  Tasks return links that connect the same rows as all links of a part do
 (at most one for each row), never all pairs of a group.
@@ -22,6 +25,7 @@ null (null if there is none).  Repeated rows stay repeated.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,41 +46,55 @@ from .shared import col, free_name
 SEED = 42
 PIVOTS = 16
 RADIUS = 4
+#: Words of the fingerprint for a given similarity, and the share of pairs at it that no cell may find.
+WORDS, MISS = 4, 0.02
 _STEP = 1 << 16  # shingles hashed at a time: a long text needs no more memory
 
 
-def fingerprint(raw: bytes, width: int) -> int:
-    """64 majority bits over the XXH64 of all word shingles of a text."""
+def _hashes(raw: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles of a text, a stretch at a time."""
     words = raw.lower().split()  # bytes: lower-cases A-Z, splits on ASCII white space
     if not words:
-        return 0
+        return
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
+        yield np.array([digest(joined, SEED)], "<u8")
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts, ends = (ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist()
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), _STEP):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _STEP], ends[at : at + _STEP])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * counts > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _STEP], ends[at : at + _STEP])], "<u8")
 
 
-def with_fingerprint(docs: DataFrame, text_col: str, out: str, width: int) -> DataFrame:
-    """``docs`` with the signed 64-bit fingerprint of each whole text."""
+def fingerprint(raw: bytes, width: int, words: int = 1) -> np.ndarray:
+    """Majority bits over the hashes of all word shingles; each word after the first is of the hashes mixed again."""
+    counts, n = np.zeros((words, 64), np.int64), 0
+    for hashes in _hashes(raw, width):
+        n += len(hashes)
+        for w in range(words):
+            if w:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes ^= hashes >> np.uint64(29)
+            counts[w] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((2 * counts > n).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
 
-    @F.arrow_udf("long")
+
+def with_fingerprint(docs: DataFrame, text_col: str, width: int, words: int = 1) -> DataFrame:
+    """``docs`` with w0, w1, ...: the fingerprint of each whole text in signed 64-bit words."""
+
+    @F.arrow_udf("array<long>")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(raw, width) for raw in each_bytes(texts)], np.uint64).view(np.int64))
+        rows = [fingerprint(raw, width, words) for raw in each_bytes(texts)]
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), words).cast(pa.list_(pa.int64()))
 
-    return docs.withColumn(out, prints(col(text_col)))
+    made = docs.withColumn("_words", prints(col(text_col)))
+    return made.withColumns({f"w{i}": F.get("_words", F.lit(i)) for i in range(words)}).drop("_words")
 
 
-def pivots(n: int = PIVOTS, seed: int = 11) -> np.ndarray:
-    """Reference fingerprints; each next one is drawn at random."""
-    return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
+def pivots(words: int = 1, n: int = PIVOTS, seed: int = 11) -> np.ndarray:
+    """Reference fingerprints, drawn at random."""
+    return np.random.default_rng(seed).integers(0, 2**64, (n, words), dtype=np.uint64)
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -86,10 +104,23 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 
 def _cells(prints: DataFrame, radius: int) -> DataFrame:
-    """(cell, fp): the two blocks' bits, marked by which two they are."""
-    parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit(m)) if a else F.col("fp").bitwiseAND(F.lit(m)) for a, m in _blocks(radius)]
+    """Every print in the cells of any two blocks' bits."""
+    parts = [F.shiftrightunsigned("w0", a).bitwiseAND(F.lit(m)) if a else F.col("w0").bitwiseAND(F.lit(m)) for a, m in _blocks(radius)]
     keys = [F.xxhash64(F.lit(i), F.lit(j), parts[i], parts[j]) for i, j in combinations(range(radius + 2), 2)]
-    return prints.select("fp", F.explode_outer(F.array(*keys)).alias("cell"))
+    return prints.withColumn("cell", F.explode_outer(F.array(*keys)))
+
+
+def _drawn_cells(prints: DataFrame, agree: float, rows: int, seed: int = 13) -> DataFrame:
+    """Every print in cells of drawn bits: pairs that agree in a bit with chance ``agree`` miss all of them with chance ``MISS``."""
+    bits = max(12, math.ceil(math.log2(max(2, rows))) - 2)
+    sets = math.ceil(math.log(MISS) / math.log(1 - agree**bits))
+    rng, keys = np.random.default_rng(seed), []
+    for s in range(sets):
+        mask = np.zeros(64 * WORDS, np.uint8)
+        mask[rng.choice(64 * WORDS, bits, replace=False)] = 1
+        masks = np.packbits(mask, bitorder="little").view("<i8").tolist()
+        keys.append(F.xxhash64(F.lit(s), *[F.col(f"w{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(masks) if m]))
+    return prints.withColumn("cell", F.explode_outer(F.array(*keys)))
 
 
 def connected_rows(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,12 +137,12 @@ def connected_rows(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _survivors(group: np.ndarray, side: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _survivors(group: np.ndarray, side: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified pairs of rows; rows are sorted by group and first coordinate.
 
     ``side``: 0 pairs with all of its group, 1 only with 2 (the parts of a split cell).
     """
-    place = group * 256 + table[:, 0]
+    place = group * 1024 + table[:, 0]
     stop = np.searchsorted(place, place + radius, "right")
     width = stop - np.arange(len(fp)) - 1
     done = np.cumsum(width)
@@ -126,7 +157,7 @@ def _survivors(group: np.ndarray, side: np.ndarray, fp: np.ndarray, table: np.nd
         for k in range(1, table.shape[1]):
             near = np.abs(table[left, k] - table[right, k]) <= radius
             left, right = left[near], right[near]
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= radius
+        near = np.bitwise_count(fp[left] ^ fp[right]).sum(axis=1, dtype=np.int64) <= radius
         yield left[near], right[near]
         at = to
 
@@ -134,17 +165,16 @@ def _survivors(group: np.ndarray, side: np.ndarray, fp: np.ndarray, table: np.nd
 def _linker(radius: int, refs: np.ndarray):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows: pa.Table) -> pa.RecordBatch:
-            cell, part = rows["cell"].to_numpy(), rows["part"].to_numpy()
-            fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
+            cell, part, side, node = (rows[x].to_numpy() for x in ("cell", "part", "side", "node"))
+            fp = np.column_stack([rows[f"w{i}"].to_numpy() for i in range(refs.shape[1])]).view(np.uint64)
             group = np.cumsum(np.r_[0, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
-            table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int16)
+            table = np.column_stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int64) for p in refs])
             order = np.lexsort((table[:, 0], group))
-            group, side, fp, table = group[order], side[order], fp[order], table[order]
+            group, side, fp, table, ids = group[order], side[order], fp[order], table[order].astype(np.int16), node[order]
             pairs = list(_survivors(group, side, fp, table, radius))
             a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
             root = connected_rows(len(fp), a, b)
             move = np.flatnonzero(root != np.arange(len(fp)))
-            ids = fp.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ids[root[move]]), pa.array(ids[move])], ["a", "b"])
 
         for rows in whole_groups(batches, ["cell", "part"]):
@@ -153,26 +183,72 @@ def _linker(radius: int, refs: np.ndarray):
     return link
 
 
-def linked_fingerprints(prints: DataFrame, radius: int = RADIUS, block_rows: int = 4000) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints (column fp, distinct) within ``radius`` bits."""
-    cells = _cells(prints, radius)
-    rows = split_cells(cells, "fp", block_rows).select("cell", "part", "side", "fp")
+def _linked(cells: DataFrame, radius: int, words: int, block_rows: int = 4000) -> DataFrame:
+    """Links (a, b) of nodes that connect exactly what all pairs of a cell within ``radius`` bits connect."""
+    rows = split_cells(cells, "node", block_rows)
     dealt = rows.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return dealt.mapInArrow(_linker(radius, pivots()), "a long, b long")
+    return dealt.mapInArrow(_linker(radius, pivots(words)), "a long, b long")
 
 
-def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per distinct fingerprint of ``rows`` (id, fp): component_id, the smallest id of its group."""
-    least = settle(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(linked_fingerprints(least.select("fp"), radius), "a", "b")
-    placed = least.join(found, least["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def _named(rows: DataFrame, radius: int, words: int, cells) -> DataFrame:
+    """Per distinct fingerprint of ``rows`` (id, w0, ...): component_id, the smallest id of its group."""
+    parts = [f"w{i}" for i in range(words)]
+    node = F.col("w0") if words == 1 else F.xxhash64(*parts)
+    least = settle(rows.groupBy(*parts).agg(F.min("id").alias("first")).withColumn("node", node))
+    found = components(_linked(cells(least.select("node", *parts)), radius, words), "a", "b")
+    placed = least.join(found, "node", "left").select(*parts, "first", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(names, "root").select("fp", "component_id")
+    return placed.join(names, "root").select(*parts, "root", "component_id")
+
+
+def _joined(rows: DataFrame, groups: DataFrame, words: int) -> DataFrame:
+    return rows.join(broadcast_if_small(groups, max_bytes=16 << 20), [f"w{i}" for i in range(words)])
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
-    """Per document: its id, fingerprint (signed) and component_id."""
+    """Per document: its id, fingerprint (signed) and component_id; all links within ``radius`` bits count."""
     named = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    rows = settle(with_fingerprint(named, "text", "fp", width).select("id", "fp"))
-    groups = broadcast_if_small(near_groups(rows, radius), max_bytes=16 << 20)
-    return rows.join(groups, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    rows = settle(with_fingerprint(named, "text", width).select("id", "w0"))
+    groups = _named(rows, radius, 1, lambda prints: _cells(prints, radius))
+    return _joined(rows, groups, 1).select(F.col("id").alias(id_col), F.col("w0").alias("fingerprint"), "component_id")
+
+
+def similar_radius(similarity: float) -> tuple[float, int]:
+    """Chance that a bit agrees at a Jaccard similarity of shingle sets, and the bits that may differ.
+
+    Sets of that similarity have the cosine 2s / (1 + s); a bit differs with
+    chance angle / pi.  The radius is wider by 1.65 spreads, so that 95 of 100
+    pairs just at the similarity lie within it.
+    """
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WORDS
+    return 1 - differ, round(bits * differ + 1.65 * math.sqrt(bits * differ * (1 - differ)))
+
+
+def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each group the row with the smallest id stays, with its own columns.
+
+    Of rows that share this id one stays.  Rows with a null id stay only in a
+    group without any other id, one of them.
+    """
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    carried = docs.select(*[col(c).alias(n) for c, n in names.items()])
+    ident, text = names[id_col], names[text_col]
+    agree, radius = similar_radius(similarity)
+    prints = with_fingerprint(carried, text, width, WORDS)
+    parts = [f"w{i}" for i in range(WORDS)]
+    # what follows needs no text: prints are made once, and met again by the text's own hash
+    rows = settle(prints.select(F.col(ident).alias("id"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), *parts))
+    n = rows.select(*parts).distinct().count()
+    groups = _named(rows, radius, WORDS, lambda p: _drawn_cells(p, agree, n))
+    first = _joined(rows, groups, WORDS).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = settle(
+        first.groupBy("root", "component_id", "h1", "h2").agg(F.count("*").alias("times"))
+        .groupBy("root", "component_id").agg(F.min(F.struct("h1", "h2", "times")).alias("r")).select("component_id", "r.*")
+    )
+    marked = carried.withColumns({"h1": F.xxhash64(text), "h2": F.hash(text)})
+    same = marked[ident].eqNullSafe(chosen["component_id"]) & (marked["h1"] == chosen["h1"]) & (marked["h2"] == chosen["h2"])
+    kept = marked.join(broadcast_if_small(chosen), same, "left_semi")
+    if not chosen.filter("times > 1").isEmpty():  # rows repeated in full
+        kept = kept.dropDuplicates([ident, "h1", "h2"])
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
