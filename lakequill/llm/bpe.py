@@ -180,8 +180,9 @@ class Codec:
         self.db.register("given", pa.table({"doc": owner, "pos": np.arange(len(flat)), "id": flat}))
         found = dict(self.db.execute(_DECODE).fetchall())
         self.db.unregister("given")
-        out = [None if x is None else found.get(i, b"" if not len(x) else None) for i, x in enumerate(ids)]
-        if any(o is None and ids[i].is_valid for i, o in enumerate(out)):
+        sizes = pc.list_value_length(ids).to_pylist()  # null for a null list
+        out = [None if n is None else found.get(i) if n else b"" for i, n in enumerate(sizes)]
+        if any(o is None and n for o, n in zip(out, sizes)):
             raise ValueError("an id is not in the vocabulary")
         return out
 
