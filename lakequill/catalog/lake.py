@@ -106,7 +106,7 @@ def _statused(spark, folder):
 
 _AUDIT = f"""a AS (SELECT d.doc_id, source || '/' || d.doc_id || '.txt' AS path, text, CASE WHEN toxic IS NULL THEN 'skipped' WHEN toxic = 1 THEN 'error' ELSE 'ok' END AS status
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
-    x AS (SELECT *, length(text) AS chars, substr(text, 1, 4000) AS t FROM a),
+    x AS (SELECT *, length(text) AS chars, text AS t FROM a),
     y AS (SELECT *, 2 * len(regexp_extract_all(t, 'Ã.|Â.|Ä.|Å.|Æ.|áº|á»|â€|â€™|â€œ')) + len(regexp_extract_all(t, '[\\x{{80}}-\\x{{9f}}]')) + 3 * len(regexp_extract_all(t, chr(65533))) >= 2 AS moji FROM x),
     z AS (SELECT *, array_to_string(list_filter([CASE WHEN status = 'error' THEN 'parse_error' END, CASE WHEN status = 'skipped' THEN 'unsupported' END,
         CASE WHEN status = 'ok' AND chars < 30 THEN 'empty_text' END, CASE WHEN moji THEN 'mojibake' END], lambda f: f IS NOT NULL), ',') AS flags FROM y),

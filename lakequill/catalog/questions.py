@@ -55,7 +55,7 @@ _STOP = "', '".join(V.STOPWORDS)
     q AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '["“”'']([^"“”'']+)["“”'']', 1), lambda x: trim(x)), lambda x: x <> '') AS quoted,
         list_filter({S.toks('text')}, lambda t: length(t) >= 3 AND NOT list_contains(['{_STOP}'], t)) AS plain FROM p),
     o AS (SELECT conv_id, turn, t, min(pos) AS pos FROM (SELECT conv_id, turn, unnest(list_concat(quoted, plain)) AS t, generate_subscripts(list_concat(quoted, plain), 1) AS pos FROM q) GROUP BY ALL),
-    w AS (SELECT conv_id, turn, string_agg(t, '|' ORDER BY pos) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n FROM o) WHERE n <= 30 GROUP BY ALL)
+    w AS (SELECT conv_id, turn, string_agg(t, '|' ORDER BY pos) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n FROM o) GROUP BY ALL)
     SELECT conv_id, turn, computes AS requires_computation, several AS needs_multiple_sources, coalesce(keywords, '') AS keywords,
         CASE WHEN {S.word('key', V.IMAGE_WORDS)} THEN 'image' WHEN {S.word('key', V.AUDIO_WORDS)} THEN 'audio'
              WHEN computes OR {S.word('key', V.TABLE_WORDS)} THEN 'table' WHEN several THEN 'cross_file' ELSE 'auto' END AS modality_hint,

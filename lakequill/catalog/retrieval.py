@@ -144,8 +144,8 @@ _PROFILE_SQL = f"""
     qk AS (SELECT item_id, text, {S.key('text')} AS k, {S.toks('text')} AS t FROM benchmark),
     kw AS (SELECT item_id, term, min(pos) AS pos FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM qk)
         WHERE length(term) >= 3 AND term NOT IN ('{_STOP}') GROUP BY ALL),
-    k30 AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS nr FROM kw),
-    ks AS (SELECT item_id, string_agg(term, ' ' ORDER BY nr) AS words FROM k30 WHERE nr <= 30 GROUP BY item_id),
+    kn AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS nr FROM kw),
+    ks AS (SELECT item_id, string_agg(term, ' ' ORDER BY nr) AS words FROM kn GROUP BY item_id),
     q AS (SELECT item_id AS qid, text || ' ' || coalesce(words, '') AS sq, {S.word('k', V.MULTI_SOURCE_TERMS)} AS multi, k FROM qk LEFT JOIN ks USING (item_id))"""
 
 
@@ -162,9 +162,9 @@ def _fused_sql(wv, wb, with_query):
     "hybrid_topk",
     f"""WITH {_fused_sql(0.5, 0.5, False)},
     sc AS (SELECT fx.*, row_number() OVER (PARTITION BY qid ORDER BY combined DESC, chunk_id) AS rn FROM fx WHERE combined > 0),
-    sd AS (SELECT sc.*, split_part(chunk_id, '::', 1) AS file_id, multi FROM sc JOIN q USING (qid) WHERE multi OR rn <= 64),
+    sd AS (SELECT sc.*, split_part(chunk_id, '::', 1) AS file_id, multi FROM sc JOIN q USING (qid)),
     pl AS (SELECT qid, file_id, multi, max(combined) AS score, max({{'c': combined, 'i': chunk_id, 'r': reason}}).r AS reason FROM sd GROUP BY ALL),
-    rk0 AS (SELECT qid, term FROM (SELECT item_id AS qid, {S.key('term')} AS term FROM k30 WHERE nr <= 30) JOIN q USING (qid) WHERE multi AND length(term) >= 4 AND term NOT LIKE '% %'),
+    rk0 AS (SELECT qid, term FROM (SELECT item_id AS qid, {S.key('term')} AS term FROM kn) JOIN q USING (qid) WHERE multi AND length(term) >= 4 AND term NOT LIKE '% %'),
     ho AS (SELECT DISTINCT term, file_id FROM (SELECT file_id, unnest({S.toks('text')}) AS term FROM c) SEMI JOIN rk0 USING (term)),
     rr AS (SELECT DISTINCT qid, file_id FROM ho JOIN rk0 USING (term) WHERE term IN (SELECT term FROM ho GROUP BY term HAVING count(*) <= 3)),
     bx AS (SELECT pl.qid, pl.file_id, path, pl.multi, round(score + CASE WHEN pl.multi AND NOT {S.word('k', V.IMAGE_WORDS)} AND NOT {S.word('k', V.AUDIO_WORDS)}
@@ -217,7 +217,7 @@ def hybrid_sumpool(spark, folder):
 
 @query(
     "rare_keyword_files",
-    f"""WITH {_PROFILE_SQL}, w AS (SELECT item_id, {S.key('term')} AS term FROM k30 WHERE nr <= 30),
+    f"""WITH {_PROFILE_SQL}, w AS (SELECT item_id, {S.key('term')} AS term FROM kn),
     h AS (SELECT DISTINCT term, doc_id FROM (SELECT doc_id, unnest({S.toks('text')}) AS term FROM documents)),
     r AS (SELECT term FROM h GROUP BY term HAVING count(*) <= 3)
     SELECT DISTINCT item_id, doc_id FROM w JOIN h USING (term) SEMI JOIN r USING (term) WHERE length(term) >= 4 AND term NOT LIKE '% %'""",

@@ -136,7 +136,6 @@ K_VALUES = (1, 3, 5, 8)
 EMPTY_TEXT_CHARS = 30
 SCANNED_PDF_CHARS = 200
 LOW_OCR_CONFIDENCE = 40.0
-AUDIT_SAMPLE_CHARS = 4000
 
 # One-column headers that are labels, never list entries.
 HEADER_WORDS = (

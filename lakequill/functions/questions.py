@@ -94,10 +94,10 @@ def modality_hint_by_substring(key: Column, hints: Column, computes: Column, sev
     )
 
 
-def keywords(question: Column, *phrases: Column, limit: int = 30) -> Column:
-    """Phrases and hints first, then tokens of three letters or more that are not stopwords; first 30 distinct."""
+def keywords(question: Column, *phrases: Column) -> Column:
+    """Phrases and hints first, then tokens of three letters or more that are not stopwords; all distinct ones."""
     plain = F.filter(tokens(question), lambda t: (F.length(t) >= 3) & ~t.isin(*V.STOPWORDS))
-    return F.slice(F.array_distinct(F.concat(*phrases, plain)), 1, limit)
+    return F.array_distinct(F.concat(*phrases, plain))
 
 
 def decimals(key: Column) -> Column:
@@ -186,7 +186,7 @@ def merge_model_analysis(profiles: DataFrame, parsed: DataFrame) -> DataFrame:
     return (
         joined.withColumn("language", F.coalesce(F.left(F.nullif(F.col("_language"), F.lit("")), F.lit(5)), "language"))
         .withColumn("modality_hint", F.when(takes, F.col("_modality_hint")).otherwise(F.col("modality_hint")))
-        .withColumn("keywords", F.when(F.col("_keywords").isNull(), F.col("keywords")).otherwise(F.slice(F.array_distinct(every), 1, 30)))
+        .withColumn("keywords", F.when(F.col("_keywords").isNull(), F.col("keywords")).otherwise(F.array_distinct(every)))
         .withColumn("requires_computation", F.col("requires_computation") | F.coalesce("_requires_computation", F.lit(False)))
         .withColumn("needs_multiple_sources", F.col("needs_multiple_sources") | F.coalesce("_needs_multiple_sources", F.lit(False)))
         .withColumn("format_instructions", rules_first)

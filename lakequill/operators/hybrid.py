@@ -80,9 +80,8 @@ def retrieve(
 ) -> DataFrame:
     """Ranked candidate files per question: (qid, file_id, relative_path, modality, extension, score, reason, rank).
 
-    Chunk scores are cut to the scan window per question (not for questions
-    over several files), pooled by maximum per file, joined with direct hits
-    and boosted by rare keywords; then the threshold and the final cut apply.
+    Chunk scores are pooled by maximum per file, joined with direct hits and
+    boosted by rare keywords; then the threshold and the final cut apply.
     """
     if fused is None:
         fused = chunk_scores(profiles, chunks, config.vector_weight, config.bm25_weight)
@@ -90,11 +89,7 @@ def retrieve(
                             F.concat("wildcard_patterns", "quoted_phrases", "explicit_file_hints").alias("_hints"))
     small_asked = broadcast_if_small(asked)
     positive = fused.filter(F.col("combined") > 0).withColumn("file_id", _file_id(F.col("chunk_id")))
-    flagged = positive.join(small_asked.select("qid", "needs_multiple_sources"), "qid")
-    window = top_k(
-        flagged.filter(~F.col("needs_multiple_sources")), ["qid"], [F.desc("combined"), F.asc("chunk_id")], config.scan_limit()
-    ).drop("rank")
-    scanned = window.unionByName(flagged.filter("needs_multiple_sources")).withColumn("reason", dominant_signal(F.col("v"), F.col("b")))
+    scanned = positive.withColumn("reason", dominant_signal(F.col("v"), F.col("b")))
     pooled = scanned.groupBy("qid", "file_id").agg(F.max(F.struct("combined", "chunk_id", "reason")).alias("_best"))
     pooled = pooled.select("qid", "file_id", F.col("_best.combined").alias("score"), F.col("_best.reason").alias("reason"))
 
@@ -151,7 +146,7 @@ def _cut(merged: DataFrame, best: DataFrame, asked: DataFrame, config: EngineCon
     widest = max(config.top_k, config.cross_file_top_k)
     ranked = top_k(merged.join(passing, "qid"), ["qid"], order, widest).filter(F.col("rank") <= F.col("_k"))
     columns = ["qid", "file_id", "relative_path", "modality", "extension", "score", "reason", "rank"]
-    complete = rank_complete(whole, ["qid"], "file_id", order, config.max_context_files_wildcard)
+    complete = rank_complete(whole, ["qid"], order)
     return ranked.select(*columns).unionByName(complete.select(*columns))
 
 
@@ -203,7 +198,7 @@ def retrieve_sum_pooled(
     order = [F.desc("score"), F.asc("relative_path")]
     sets = asked.filter(needs_pattern_set(F.col("key"), F.col("_hints"))).select("qid", "modality_hint")
     kept = pooled.join(sets, "qid").filter(F.col("_pattern") & ((F.col("modality_hint") != "image") | (F.col("modality") == "image")))
-    full = rank_complete(kept, ["qid"], "file_id", order, EngineConfig().max_context_files_wildcard)
+    full = rank_complete(kept, ["qid"], order)
     rest = top_k(pooled.join(kept.select("qid").distinct(), "qid", "left_anti"), ["qid"], order, top)
     columns = ["qid", "file_id", "relative_path", "modality", "score", "reason", "rank"]
     return rest.select(*columns).unionByName(full.select(*columns))
