@@ -149,3 +149,20 @@ ROSTER_SIZE_TERMS = ("thanh vien", "member")
 ROSTER_MAX_TERMS = ("most", "highest", "largest")
 ROSTER_MIN_TERMS = ("fewest", "least", "smallest", "lowest")
 ROSTER_EXCLUDE_TERMS = ("sv moi", "new student", "moi tuyen")
+
+# What a query text may consist of: parts of a parsed plan, expressions outside of Spark's expression package, and functions.
+SQL_PLAN_PARTS = (
+    "Project", "Filter", "Aggregate", "UnresolvedHaving", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except",
+    "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "OneRowRelation", "UnresolvedOrdinal", "UnresolvedInlineTable",
+)
+SQL_EXPRESSIONS = (
+    "UnresolvedAttribute", "UnresolvedStar", "UnresolvedAlias", "UnresolvedOrdinal", "UnresolvedExtractValue", "UnresolvedSubqueryColumnAliases", "UnresolvedWindowExpression",
+)
+SQL_SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery")
+SQL_FUNCTIONS = frozenset(
+    "abs and avg between bround case cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr count count_if cume_dist current_date date date_add date_diff date_format date_sub "
+    "date_trunc datediff day dayofmonth dense_rank endswith extract first first_value floor format_number greatest hour if ifnull in initcap instr isnan isnotnull isnull lag last last_value lead least left "
+    "length ln log log10 lower lpad ltrim max max_by mean median min min_by minute mod month nanvl not ntile nullif nvl or percent_rank percentile percentile_approx pow power quarter rank regexp_extract "
+    "regexp_like regexp_replace replace right rlike round row_number rpad rtrim second sign size split sqrt startswith std stddev stddev_pop stddev_samp string_agg listagg substr substring sum "
+    "to_date to_timestamp trim trunc try_cast try_divide upper var_pop var_samp variance weekday when year string int bigint double decimal boolean timestamp".split()
+)
