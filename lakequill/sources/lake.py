@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,12 +13,12 @@ from pyspark.sql import types as T
 from ..functions import paths as P
 from ..functions.text import preview
 from . import documents as D
-from .tabular import csv_preview, excel_preview, sql_table_names
+from .tabular import sql_table_names, tables_in, text_of_tables
 
 # A pluggable reader takes (path, bytes) and returns text.
 Reader = Callable[[str, bytes], str]
 
-PARSED = T.StructType([
+_FIELDS = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("columns", T.ArrayType(T.StringType())),
     T.StructField("sheet_names", T.ArrayType(T.StringType())),
@@ -25,6 +26,9 @@ PARSED = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("error_message", T.StringType()),
 ])
+_ROWS = T.ArrayType(T.ArrayType(T.StringType()))
+_TABLES = T.ArrayType(T.StructType([T.StructField("sheet", T.StringType()), T.StructField("rows", _ROWS)]))
+PARSED = T.StructType([*_FIELDS.fields, T.StructField("tables", _TABLES)])
 
 _MISSING = {
     ".pdf": "no PDF reader is registered",
@@ -34,26 +38,39 @@ _MISSING = {
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file below ``root``: path, length, modificationTime, content."""
+    """Every regular file below ``root``: path, length, modificationTime, content.
+
+    The content is a column like any other: a query that does not ask for it
+    lists the files without opening them.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as the file system itself writes it, with scheme and host (``s3a://lake/data``, ``file:/srv/lake``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(path).toString()
+
+
+def below(path, root: str):
+    """``path`` relative to a qualified root; slashes after a scheme may be one or three."""
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*):/*", "$1:/")
+    return P.relative_to(plain(path), re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/*", r"\1:/", root).rstrip("/"))
+
+
 def _read(path: str, data: bytes, readers: dict[str, Reader]) -> dict:
     name = path.rsplit("/", 1)[-1]
     ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name.lstrip(".") else ""
-    out = {"columns": [], "sheet_names": [], "metadata": {}}
+    out = {"columns": [], "sheet_names": [], "metadata": {}, "tables": None}
     if ext in readers:
         return out | {"content": readers[ext](path, data)}
     if ext in (".txt", ".md"):
         return out | {"content": D.decode(data)}
     if ext in (".html", ".htm"):
         return out | {"content": D.html_text(D.decode(data))}
-    if ext == ".csv":
-        content, columns = csv_preview(D.decode(data))
-        return out | {"content": content, "columns": columns}
-    if ext == ".xlsx":
-        content, sheets, columns = excel_preview(D.xlsx_sheets(data, limit=31))
-        return out | {"content": content, "sheet_names": sheets, "columns": columns}
+    if ext in (".csv", ".xlsx"):
+        return out | {"content": "", "tables": tables_in(path, data)}
     if ext == ".sql":
         text = D.decode(data)
         return out | {"content": text, "metadata": {"table_names": ",".join(sql_table_names(text))}}
@@ -83,18 +100,26 @@ def parse_files(files: DataFrame, readers: dict[str, Reader] | None = None) -> D
             try:
                 row = {"status": "ok", "error_message": None} | _read(p, bytes(data), registered)
             except Exception as exc:
-                row = {"content": "", "columns": [], "sheet_names": [], "metadata": {}, "status": "error", "error_message": str(exc) or type(exc).__name__}
+                row = {"content": "", "columns": [], "sheet_names": [], "metadata": {}, "tables": None, "status": "error", "error_message": str(exc) or type(exc).__name__}
             rows.append(row)
         return pd.DataFrame(rows, columns=[f.name for f in PARSED.fields])
 
-    return files.withColumn("parsed", parse("path", "content"))
+    read = files.withColumn("parsed", parse("path", "content"))
+    # what a table holds is found by expressions over its rows, every row of it
+    shaped = text_of_tables(F.col("parsed.tables"), F.lower("path").endswith(".csv"))
+    known = F.col("parsed.tables").isNotNull()
+    fields = [
+        F.when(known, shaped[f.name]).otherwise(F.col("parsed")[f.name]).alias(f.name) if f.name in ("content", "columns", "sheet_names") else F.col("parsed")[f.name].alias(f.name)
+        for f in _FIELDS.fields
+    ]
+    return read.withColumn("parsed", F.struct(*fields))
 
 
 def build_manifest(spark: SparkSession, root: str, readers: dict[str, Reader] | None = None, files: DataFrame | None = None) -> DataFrame:
     """The manifest with the full text as ``content``."""
     parsed = parse_files(scan(spark, root) if files is None else files, readers)
     clean = F.regexp_replace("path", "^file:/*", "/")
-    relative = P.relative_to(clean, "/" + root.removeprefix("file:").strip("/"))
+    relative = below(F.col("path"), qualified(spark, root))
     base = parsed.select(
         relative.alias("relative_path"), clean.alias("absolute_path"), F.col("length").alias("size_bytes"), "modificationTime", "parsed.*"
     )
@@ -140,8 +165,7 @@ def retry_failed(
     failing = F.col("status").isin(*statuses)
     if extensions:
         failing = failing & F.col("extension").isin(*extensions)
-    clean = F.regexp_replace("path", "^file:/*", "/")
-    relative = P.relative_to(clean, "/" + root.removeprefix("file:").strip("/"))
+    relative = below(F.col("path"), qualified(manifest.sparkSession, root))
     again = files.join(manifest.filter(failing).select(F.col("relative_path").alias("_rel")), relative == F.col("_rel"), "left_semi")
     fresh = build_manifest(manifest.sparkSession, root, readers, files=again)
     kept = manifest.join(fresh.select("file_id"), "file_id", "left_anti")

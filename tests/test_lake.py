@@ -72,18 +72,53 @@ def test_tables_in_files(spark, folder):
     xlsx = cells.filter("path like '%.xlsx'").first()["path"]
     assert [tuple(r) for r in tabular.frame_of(cells, xlsx, "S1").collect()] == [("Ann", "9")]
     big = tabular.read_csv(spark, f"{folder}/sub/b.csv")
-    assert sorted(tuple(r) for r in big.collect()) == [("1", "ann", "5"), ("2", "bob", "7")]
+    assert sorted(tuple(r)[:3] for r in big.filter("rejected is null").collect()) == [("1", "ann", "5"), ("2", "bob", "7")]
+    assert big.filter("rejected is not null").count() == 1
     dump = tabular.dump_cells(spark.createDataFrame([("g", SQL)], "path string, content string"))
     rows = [tuple(r["cells"]) for r in dump.orderBy("row_no").collect()]
     assert rows == [("id", "name", "mark"), ("1", "O'Neil", "8.5"), ("2", "B; (x)", None)]
 
 
-def test_header_rules():
-    assert tabular.header_row([["Note"], ["(ppm)", "(ppm)", "(ppm)"], ["gene", "value", "p"], ["A", "1", "2"]]) == 2
-    assert tabular.skip_rows([["t"], ["a", "b"], ["1", "2"]]) == 1
-    assert tabular.csv_table("BRD8\nDHX15\nSSB\n") == (["value"], [["BRD8"], ["DHX15"], ["SSB"]])
+def test_header_rules(spark):
+    rows = F.lit([["Note"], ["(ppm)", "(ppm)", "(ppm)"], ["gene", "value", "p"], ["A", "1", "2"]])
+    one = spark.range(1)
+    assert [r for r in one.select(F.transform(rows, tabular.is_sheet_header)).first()[0]] == [False, False, True, False]
+    assert one.select(tabular.csv_header_at(F.lit([["t"], ["a", "b"], ["1", "2"]]))).first()[0] == 1
+    listed = one.select(tabular.table_of(F.lit([["BRD8"], ["DHX15"], ["SSB"]]), F.lit(True)).alias("t")).first()["t"]
+    assert (list(listed["header"]), [list(r) for r in listed["body"]]) == (["value"], [["BRD8"], ["DHX15"], ["SSB"]])
     for label in ("gene", "no digit", "name"):
-        assert not tabular.is_list_header(label)
+        assert not one.select(tabular.is_list_header(F.lit(label))).first()[0]
+
+
+def test_every_row_of_a_long_csv(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("id,name\n" + "".join(f"{i},n{i}\n" for i in range(200)) + "1,2,3\n9\n")
+    (tmp_path / "semi.csv").write_text("id;name\n1;a\n2;b\n")
+    (tmp_path / "list.csv").write_text("BRD8\n" + "".join(f"G{i}\n" for i in range(40)))
+    rows = {r["relative_path"]: r for r in lake.build_manifest(spark, str(tmp_path)).collect()}
+    lines = rows["long.csv"]["content"].splitlines()
+    assert len(lines) == 202 and lines[200] == "199,n199" and lines[201] == "9,"
+    assert rows["semi.csv"]["columns"] == ["id", "name"] and rows["list.csv"]["content"].splitlines()[:2] == ["value", "BRD8"]
+    cells = tabular.table_cells(lake.scan(spark, str(tmp_path)).filter("path like '%.csv'"))
+    long = cells.filter("path like '%long.csv'")
+    assert long.filter("row_no > 0 and not rejected").count() == 201 and [list(r["cells"]) for r in long.filter("rejected").collect()] == [["1", "2", "3"]]
+    assert cells.filter("path like '%list.csv'").count() == 42
+    big = tabular.read_csv(spark, str(tmp_path / "long.csv"))
+    assert big.filter("rejected is null").count() == 201 and big.filter("rejected is not null").count() == 1
+    assert [tuple(r)[:2] for r in tabular.read_csv(spark, str(tmp_path / "semi.csv")).orderBy("id").collect()] == [("1", "a"), ("2", "b")]
+
+
+def test_paths_on_other_stores(spark):
+    at = lambda path, root: spark.range(1).select(lake.below(F.lit(path), root)).first()[0]
+    assert at("s3a://lake/data/sub/a.txt", "s3a://lake/data") == "sub/a.txt"
+    assert at("file:///srv/lake/a.txt", "file:/srv/lake") == "a.txt"
+    assert at("hdfs://host:8020/x/y.csv", "hdfs://host:8020/x/") == "y.csv"
+    assert lake.qualified(spark, "/tmp") == "file:/tmp"
+
+
+def test_unreadable_workbook_is_a_row(spark):
+    files = spark.createDataFrame([("x.xlsx", bytearray(b"not a zip"))], "path string, content binary")
+    row = tabular.table_cells(files).first()
+    assert row["rejected"] and row["sheet"] is None
 
 
 def test_question_sheet_with_late_header(spark):
