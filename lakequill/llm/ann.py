@@ -128,6 +128,23 @@ def calibrate(trees: Trees, sample: np.ndarray, k: int, recall: float, tries: in
     return _SHARES[good[0]] if len(good) else _SHARES[-1]
 
 
+def _best(asks: np.ndarray, u: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the best ``k`` of u for each query, best first; their exact cosines; how many there are for each query."""
+    few, spare = min(k, len(u)), min(k + 3, len(u))
+    rough = asks @ u.T
+    near = np.argpartition(-rough, spare - 1, axis=1)[:, :spare]
+    exact = np.clip((u[near] * asks[:, None, :]).sum(axis=2), -1.0, 1.0)
+    order = np.lexsort((first[near], -exact), axis=1)[:, :few]
+    best, scores = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+    # where more rows tie with the last one than there is room for, all of them are looked at
+    for q in np.flatnonzero((rough >= scores[:, -1:] - 1e-9).sum(axis=1) > spare):
+        some = np.flatnonzero(rough[q] >= scores[q, -1] - 1e-9)
+        own = np.clip((u[some] * asks[q]).sum(axis=1), -1.0, 1.0)
+        line = np.lexsort((first[some], -own))[:few]
+        best[q], scores[q] = some[line], own[line]
+    return best.ravel(), scores.ravel(), np.full(len(asks), few)
+
+
 def _ranker(k: int):
     """Best ``k`` vectors of one block for each query that visits it."""
 
@@ -140,23 +157,12 @@ def _ranker(k: int):
             if not rows.num_rows or where != (rows["cell"][0].as_py(), rows["part"][0].as_py()):
                 continue
             asks = unit(matrix(rows["v"]))
-            best: list[np.ndarray] = []
-            scores: list[np.ndarray] = []
-            for at in range(0, len(asks), 512):
-                rough = asks[at : at + 512] @ u.T
-                few = min(k, len(u))
-                floor = np.partition(rough, len(u) - few, axis=1)[:, len(u) - few] - 1e-9
-                for q, (line, low) in enumerate(zip(rough, floor)):
-                    some = np.flatnonzero(line >= low)
-                    exact = np.clip((u[some] * asks[at + q]).sum(axis=1), -1.0, 1.0)
-                    order = np.lexsort((first[some], -exact))[:few]
-                    best.append(some[order])
-                    scores.append(exact[order])
-            counts = np.array([len(b) for b in best])
-            pick = held.take(pa.array(np.concatenate(best)))
+            parts = [_best(asks[at : at + 512], u, first, k) for at in range(0, len(asks), 512)]
+            best, scores, counts = (np.concatenate(x) for x in zip(*parts))
+            pick = held.take(pa.array(best))
             asked = rows.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
             yield pa.RecordBatch.from_arrays(
-                [x.combine_chunks() for x in (asked["h1"], asked["h2"], pick["h1"], pick["h2"])] + [pa.array(np.concatenate(scores)), pick["ids"].combine_chunks()],
+                [x.combine_chunks() for x in (asked["h1"], asked["h2"], pick["h1"], pick["h2"])] + [pa.array(scores), pick["ids"].combine_chunks()],
                 ["q1", "q2", "h1", "h2", "score", "ids"],
             )
 
