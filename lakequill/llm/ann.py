@@ -232,10 +232,11 @@ def nearest(
 
     asking = rows.filter("asks").select("h1", "h2", "id").distinct()
     asked = index.join(asking.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v")
+    slices = -(-asked.count() // block_rows) or 1  # queries that meet a block at a time: about block_rows at most
     splits = F.element_at(F.array(*[F.lit(int(x)) for x in parts]), (F.col("cell") + 1).cast("int")) if parts.max() > 1 else F.lit(1)
     blocks = members.select("cell", F.pmod(F.col("h2"), splits).cast("long").alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("slice"), "h1", "h2", "v", "ids", F.get("ids", F.lit(0)).alias("first"))
     visitors = asked.mapInArrow(visits, f"cell long, part long, h1 long, h2 long, v {kind['v']}").select(
-        "cell", "part", F.lit(1).alias("kind"), F.pmod(F.col("h1"), F.lit(1 << 20)).cast("int").alias("slice"), "h1", "h2", "v",
+        "cell", "part", F.lit(1).alias("kind"), F.pmod(F.col("h1"), F.lit(slices)).cast("int").alias("slice"), "h1", "h2", "v",
         F.lit(None).cast(kind["ids"]).alias("ids"), F.lit(None).cast("long").alias("first"),
     )
     dealt = blocks.union(visitors).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind", "slice")
