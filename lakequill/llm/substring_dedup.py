@@ -201,12 +201,13 @@ def _stretch(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-_SENT = "block long, bucket long, sizes binary, text binary, anchors binary, contents binary, least binary, uses binary, places binary, gone binary, gone_sizes binary"
+_SENT = "block long, bucket long, sizes binary, text binary, anchors binary, least binary, uses binary, places binary, gone binary, gone_sizes binary"
 _RUNS = "block long, starts binary, sizes binary"
 
 
 def _sender(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for batch in batches:
             for row in batch.to_pylist():
                 ids, sizes, data = _open(row)
@@ -255,15 +256,17 @@ def _sender(buckets: int):
                 back = text[used] - np.repeat(cuts[:-1], np.diff(uses_at))
                 k = len(cuts) - 1
                 none = pa.array([b""] * k, pa.binary())
+                sent = data[_stretch(start[first], size)].tobytes()
+                texts = pa.array([codec.compress(sent[a:b], asbytes=True) for a, b in zip(bytes_at, bytes_at[1:])], pa.binary())
                 rows = [
-                    pa.array(np.full(k, row["block"])), pa.array(at[cuts[:-1]]), _blobs(size.astype("u1"), cuts), _blobs(data[_stretch(start[first], size)], bytes_at),
-                    _blobs((h[first] & _U(0xFFFFFFFF)).astype("<u4"), cuts), _blobs(content[first], cuts), _blobs(least.astype("<i8"), cuts),
+                    pa.array(np.full(k, row["block"])), pa.array(at[cuts[:-1]]), _blobs(size.astype("u1"), cuts), texts,
+                    _blobs((h[first] & _U(0xFFFFFFFF)).astype("<u4"), cuts), _blobs(least.astype("<i8"), cuts),
                     _blobs(back.astype("<u4"), uses_at), _blobs(start[used].astype("<u4"), uses_at), none, none,
                 ]
                 fields = [f.split()[0] for f in _SENT.split(", ")]
                 yield pa.RecordBatch.from_arrays(rows, fields)
                 if later.any():  # known to go without asking
-                    lost = [pa.array([row["block"]]), pa.array([int(row["block"] % buckets)])] + [pa.array([b""])] * 7
+                    lost = [pa.array([row["block"]]), pa.array([int(row["block"] % buckets)])] + [pa.array([b""])] * 6
                     lost += [pa.array([start[later].astype("<u4").tobytes()]), pa.array([n[later].astype("<u4").tobytes()])]
                     yield pa.RecordBatch.from_arrays(lost, fields)
 
@@ -286,6 +289,7 @@ def _least_windows(data: np.ndarray, sizes: np.ndarray, group: np.ndarray, least
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
     for rows in _groups(batches):
         for row in rows:
             if row["gone"]:
@@ -294,9 +298,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rows:
             continue
         read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])  # noqa: E731, B023
-        size, anchor, content, least = read("sizes", "u1").astype(np.int64), read("anchors", "<u4"), read("contents", "<u8"), read("least", "<i8")
-        data = read("text", "u1")
+        size, anchor, least = read("sizes", "u1").astype(np.int64), read("anchors", "<u4"), read("least", "<i8")
+        raw = [codec.decompress(r["text"], decompressed_size=int(np.frombuffer(r["sizes"], "u1").sum(dtype=np.int64)), asbytes=True) for r in rows]
+        data = np.frombuffer(b"".join(raw), np.uint8)
         begin = np.cumsum(size) - size
+        content = _content(data, begin, size)
         texts = np.array([len(r["sizes"]) for r in rows])
         uses = np.array([len(r["uses"]) // 4 for r in rows])
         use = read("uses", "<u4").astype(np.int64) + np.repeat(np.cumsum(texts) - texts, uses)
@@ -382,7 +388,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_bytes: int = 4 << 20, hot_blocks: int = 20_000) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_bytes: int = 8 << 20, hot_blocks: int = 20_000) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, the removed spans (start and size in bytes) and the kept bytes."""
     named = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     blocks = settle(named.mapInArrow(_pack, "block long, ids binary, sizes binary, data binary, n_bytes long"))
