@@ -30,7 +30,7 @@ def glob_matches(patterns: DataFrame, files: DataFrame, *, nid: str, pattern_col
     """(path, nid) where the path matches the glob, or also ``*/glob``.
 
     The longest literal part of the glob anchors the join; a glob without a
-    literal matches every path and is joined on a constant.
+    literal may match every path: files are dealt by hash and such globs go to every part.
     """
     literal = F.reduce(
         F.split(F.col(pattern_col), "[*?]|\\[[^\\]]*\\]"), F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a)
@@ -39,8 +39,10 @@ def glob_matches(patterns: DataFrame, files: DataFrame, *, nid: str, pattern_col
     pairs = contains_pairs(files.select(path, path_key), rated, hid=path, hay_col=path_key, nid=nid, needle_col="_literal")
     open_globs = rated.filter(F.col("_literal") == "")
     if not open_globs.isEmpty():
-        one = F.lit(1).alias("_one")
-        pairs = pairs.unionByName(files.select(path, one).join(open_globs.select(nid, one), "_one").select(path, nid))
+        parts = 2 * files.sparkSession.sparkContext.defaultParallelism
+        dealt = files.select(path, F.pmod(F.xxhash64(path), F.lit(parts)).cast("int").alias("_part"))
+        everywhere = open_globs.select(nid, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+        pairs = pairs.unionByName(dealt.join(everywhere, "_part").select(path, nid))
     checked = pairs.join(rated.select(nid, "_glob"), nid).join(files.select(path, F.col(path_key).alias("_key")), path)
     hit = F.expr("_key rlike _full")
     if any_folder:

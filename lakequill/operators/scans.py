@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scale import broadcast_if_small
+
 BLOCK = 4096
 
 
@@ -45,32 +47,40 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
     return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(out))
 
 
-def percentile(df: DataFrame, keys: list[str], value: str, fraction: float, out: str, bins: int = 16384) -> DataFrame:
-    """Exact percentile with linear interpolation, one row per key.
+def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], bins: int = 10_000) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per key and one column per fraction.
 
-    A histogram finds the one or two bins that hold the wanted ranks; only
-    their values are counted and ordered.
+    A quantile sketch (partial in each task) brackets every wanted rank between
+    two values, whatever the values' spread.  Values below a bracket are only
+    counted; those inside, about ten times the sketch's error, are counted one
+    by one and ordered.  ``bins`` is the resolution of the sketch.
     """
-    bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    bounds = bounds.withColumn("_pos", (F.col("_n") - 1) * F.lit(fraction))
-    span = F.col("_hi") - F.col("_lo")
-    spot = F.when(span > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / span * bins))).otherwise(F.lit(0))
-    binned = df.filter(F.col(value).isNotNull()).join(bounds, keys).withColumn("_bin", spot.cast("int"))
-    counts = binned.groupBy(*keys, "_bin", "_pos").agg(F.count("*").alias("_c"))
-    upto = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hist = counts.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_before", F.col("_cum") - F.col("_c"))
-
-    def holds(rank):
-        return (F.col("_before") <= rank) & (rank < F.col("_cum"))
-
-    wanted = hist.filter(holds(F.floor("_pos")) | holds(F.ceil("_pos"))).select(*keys, "_bin", "_before")
-    values = binned.join(wanted, keys + ["_bin"]).groupBy(*keys, "_bin", "_before", "_pos", value).agg(F.count("*").alias("_c"))
-    inside = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = values.withColumn("_cum", F.col("_before") + F.sum("_c").over(inside))
-    low = F.min(F.when(F.col("_cum") > F.floor("_pos"), F.col(value)))
-    high = F.min(F.when(F.col("_cum") > F.ceil("_pos"), F.col(value)))
-    return (
-        ranked.groupBy(*keys, "_pos")
-        .agg(low.alias("_low"), high.alias("_high"))
-        .select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))).alias(out))
+    known = df.filter(F.col(value).isNotNull())
+    slack, names = 10 / bins, list(fractions)
+    probes = [p for f in fractions.values() for p in (max(0.0, f - slack), min(1.0, f + slack))]
+    sketch = known.groupBy(*keys).agg(
+        F.percentile_approx(value, F.array(*[F.lit(p) for p in probes]), F.lit(bins)).alias("_q"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        F.count("*").alias("_n"),
     )
+    brackets = []
+    for i, f in enumerate(fractions.values()):
+        few = F.col("_n") < 4 / slack  # the slack is less than a rank or two: all values are ordered
+        low = F.when(few | F.lit(f - slack <= 0), F.col("_lo")).otherwise(F.get("_q", F.lit(2 * i)))
+        high = F.when(few | F.lit(f + slack >= 1), F.col("_hi")).otherwise(F.get("_q", F.lit(2 * i + 1)))
+        brackets.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"), ((F.col("_n") - 1) * F.lit(f)).alias("pos")))
+    bounds = sketch.select(*keys, F.array(*brackets).alias("_b"))
+    near = F.filter("_b", lambda b: F.col(value) <= b["high"])
+    rows = known.select(*keys, value).join(broadcast_if_small(bounds), keys).select(*keys, value, F.explode(near).alias("_b"))
+    counted = rows.groupBy(*keys, "_b.i", "_b.pos", F.when(F.col(value) >= F.col("_b.low"), F.col(value)).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = W.partitionBy(*keys, "i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
+    low = F.min(F.when(F.col("_cum") > F.floor("pos"), F.col("_v")))
+    high = F.min(F.when(F.col("_cum") > F.ceil("pos"), F.col("_v")))
+    found = ranked.groupBy(*keys, "i", "pos").agg(low.alias("_low"), high.alias("_high"))
+    exact = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("pos") - F.floor("pos"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, exact)).alias(n) for i, n in enumerate(names)])
+
+
+def percentile(df: DataFrame, keys: list[str], value: str, fraction: float, out: str, bins: int = 10_000) -> DataFrame:
+    """One exact percentile, one row per key."""
+    return percentiles(df, keys, value, {out: fraction}, bins)
