@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import has_any, match_key
+from ..operators import tableqa as Q
 from ..operators import tables as T
 from ..scale import table
 from .registry import query
@@ -220,3 +221,39 @@ def question_modality_counts(spark, folder):
     rows = table(spark, folder, "conversations")
     hit = has_any(F.lower("text"), ("image", "anh", "visible", "digit", "blue"))
     return rows.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(hit).alias("with_image_word"))
+
+
+_OPS = (("average", "mean", "avg({x})"), ("total", "sum", "sum({x})"), ("median", "median", "quantile_cont({x}, 0.5)"), ("lowest", "min", "min({x})"), ("maximum", "max", "max({x})"))
+
+
+def _asked(df, column, path, text, ops=_OPS):
+    """Questions for every value of a column and every operation, each with its table."""
+    words = F.array(*[F.lit(w) for w, _, _ in ops])
+    rows = df.select(F.col(column).alias("v")).distinct().select("v", F.explode(words).alias("w"))
+    return rows.select(F.concat_ws("|", F.lit(path), "w", "v").alias("qid"), F.format_string(text, "w", "v").alias("question"), F.lit(path).alias("path"), F.lit(1).alias("rank"))
+
+
+def _asked_sql(name, column, x, ops=_OPS):
+    return " UNION ALL ".join(
+        f"SELECT '{name}|{w}|' || {column} AS qid, '{op}' AS operation, round({agg.format(x=x)}, 2) AS value FROM {name} GROUP BY {column}" for w, op, agg in ops
+    )
+
+
+@query(
+    "table_answers",
+    f"""{_asked_sql("customer", "c_mktsegment", "c_acctbal")} UNION ALL {_asked_sql("orders", "o_orderpriority", "o_totalprice", _OPS[:1])}
+    UNION ALL SELECT 'part|' || p_type, 'count', CAST(count(*) AS DOUBLE) FROM part GROUP BY p_type
+    UNION ALL SELECT 'one|' || c_name, 'mean', round(c_acctbal, 2) FROM customer WHERE c_custkey % 50 = 0""",
+)
+def table_answers(spark, folder):
+    """All questions over three tables in one plan; c_name has far more than 200 values."""
+    customer, orders, part = (table(spark, folder, n) for n in ("customer", "orders", "part"))
+    asked = _asked(customer, "c_mktsegment", "customer", "What is the %s c_acctbal in the segment %s?")
+    asked = asked.unionByName(_asked(orders, "o_orderpriority", "orders", "Give the %s o_totalprice of orders with priority %s", _OPS[:1]))
+    kinds = part.select(F.col("p_type").alias("v")).distinct()
+    asked = asked.unionByName(kinds.select(F.concat(F.lit("part|"), "v").alias("qid"), F.format_string("How many parts have the type %s?", "v").alias("question"), F.lit("part").alias("path"), F.lit(1).alias("rank")))
+    people = customer.filter("c_custkey % 50 = 0").select(F.concat(F.lit("one|"), "c_name").alias("qid"), F.format_string("What is the average c_acctbal of %s?", "c_name").alias("question"), F.lit("customer").alias("path"), F.lit(1).alias("rank"))
+    asked = asked.unionByName(people)
+    cells = Q.long_table(customer, "customer", "c_custkey").unionByName(Q.long_table(orders, "orders", "o_orderkey")).unionByName(Q.long_table(part.select("p_partkey", "p_type"), "part", "p_partkey"))
+    found = Q.answer_tables(asked.select("qid", "question"), asked.select("qid", "path", "rank"), cells)
+    return found.select("qid", "operation", F.round("value", 2).alias("value"))

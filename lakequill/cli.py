@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import ChunkBenchConfig, EngineConfig
 from .operators import answering as O
+from .operators.tableqa import long_cells
 from .plans import answering, chunk_bench
 from .session import ship_package
 from .providers.base import HashingEmbedder, LeadingSummary
@@ -67,7 +68,10 @@ def main(argv: list[str] | None = None) -> None:
     asked = questions.select(F.col("id").alias("qid"), "question", "answer_type")
     if args.limit is not None:
         asked = asked.limit(args.limit)
-    result = answering.run(asked, manifest, replace(EngineConfig(), top_k=args.top_k, min_relevance=args.min_relevance))
+    files = lake.scan(spark, args.data_lake).filter(F.lower("path").rlike("\\.(csv|xlsx)$"))
+    cells = tabular.table_cells(files.withColumn("path", lake.below(F.col("path"), lake.qualified(spark, args.data_lake))))
+    config = replace(EngineConfig(), top_k=args.top_k, min_relevance=args.min_relevance)
+    result = answering.run(asked, manifest, config, cells=long_cells(cells))
     broken = O.submission_violations(result.submission, manifest)
     if not broken.isEmpty():
         print(sinks.markdown_table(broken))

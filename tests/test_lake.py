@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakequill.operators import answering as O
 from lakequill.operators import layout as L
 from lakequill.operators import tables as T
+from lakequill.operators.tableqa import long_cells
 from lakequill.plans import answering
 from lakequill.providers.base import HashingEmbedder, Providers, encode, judge
 from lakequill.sources import lake, sinks, tabular
@@ -196,6 +197,22 @@ def test_whole_run(spark, tmp_path):
     assert (row["answer"], row["evidences"]) == ("blue", '["docs/notes.txt"]')
 
 
+def test_table_answers_come_before_sentences(spark, tmp_path):
+    (tmp_path / "Credit.csv").write_text("id,name,balance,city\n1,ann,10,Hue\n2,bob,20,Vinh\n3,cat,60,Hue\n")
+    (tmp_path / "notes.txt").write_text("The average balance of notes is nothing to speak of.")
+    manifest = lake.build_manifest(spark, str(tmp_path))
+    files = lake.scan(spark, str(tmp_path)).filter("path like '%.csv'")
+    cells = tabular.table_cells(files.withColumn("path", lake.below(F.col("path"), lake.qualified(spark, str(tmp_path)))))
+    asked = spark.createDataFrame(
+        [("1", "What is the average balance in Credit.csv?", "exact_match"), ("2", "In Credit.csv, what is the total balance for Hue?", "exact_match"),
+         ("3", "In Credit.csv, which name has the highest balance?", "exact_match"), ("4", "How many rows has Credit.csv?", "exact_match")],
+        "qid string, question string, answer_type string",
+    )
+    result = answering.run(asked, manifest, cells=long_cells(cells))
+    got = {r["id"] if "id" in r else r["qid"]: r["answer"] for r in (x.asDict() for x in result.answers.collect())}
+    assert got == {"1": "30", "2": "70", "3": "cat", "4": "3"}
+
+
 def test_streaming_ingest_reads_each_file_once(spark, tmp_path):
     root, store = tmp_path / "in", tmp_path / "store"
     root.mkdir()
