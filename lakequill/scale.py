@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import checkpoint_dir
+from .session import checkpoint_dir, ship_package
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -20,6 +20,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and cut its lineage."""
+    ship_package(df.sparkSession)  # the plan may hold functions of this package
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

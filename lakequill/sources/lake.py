@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths as P
 from ..functions.text import preview
+from ..session import ship_package
 from . import documents as D
 from .tabular import sql_table_names, tables_in, text_of_tables
 
@@ -91,6 +92,7 @@ def _read(path: str, data: bytes, readers: dict[str, Reader]) -> dict:
 
 def parse_files(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
     """Add ``parsed`` to (path, content); one bad file gives one error row."""
+    ship_package(files.sparkSession)
     registered = dict(readers or {})
 
     @F.pandas_udf(PARSED)
@@ -106,13 +108,12 @@ def parse_files(files: DataFrame, readers: dict[str, Reader] | None = None) -> D
 
     read = files.withColumn("parsed", parse("path", "content"))
     # what a table holds is found by expressions over its rows, every row of it
-    shaped = text_of_tables(F.col("parsed.tables"), F.lower("path").endswith(".csv"))
-    known = F.col("parsed.tables").isNotNull()
+    read = read.withColumn("_shaped", F.when(F.col("parsed.tables").isNotNull(), text_of_tables(F.col("parsed.tables"), F.lower("path").endswith(".csv"))))
     fields = [
-        F.when(known, shaped[f.name]).otherwise(F.col("parsed")[f.name]).alias(f.name) if f.name in ("content", "columns", "sheet_names") else F.col("parsed")[f.name].alias(f.name)
+        (F.coalesce(F.col("_shaped")[f.name], F.col("parsed")[f.name]) if f.name in ("content", "columns", "sheet_names") else F.col("parsed")[f.name]).alias(f.name)
         for f in _FIELDS.fields
     ]
-    return read.withColumn("parsed", F.struct(*fields))
+    return read.withColumn("parsed", F.struct(*fields)).drop("_shaped")
 
 
 def build_manifest(spark: SparkSession, root: str, readers: dict[str, Reader] | None = None, files: DataFrame | None = None) -> DataFrame:
