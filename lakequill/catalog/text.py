@@ -161,3 +161,11 @@ def dedupe_keep_max(spark, folder):
     best = F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("neg"))).alias("_best")
     grouped = keyed.groupBy("key").agg(F.count("*").alias("copies"), best)
     return grouped.select("key", "copies", F.col("_best.n_chars").alias("n_chars"), (-F.col("_best.neg")).alias("doc_id"))
+
+
+@query("mojibake_repaired", "SELECT doc_id, md5(text) AS repaired FROM documents WHERE text IS NOT NULL")
+def mojibake_repaired(spark, folder):
+    """Texts whose UTF-8 bytes were read as Latin-1 come back as they were; plain texts stay."""
+    texts = documents(spark, folder).filter("text IS NOT NULL")
+    broken = F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
+    return texts.select("doc_id", F.md5(T.repair_mojibake(broken)).alias("repaired"))

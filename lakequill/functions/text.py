@@ -152,5 +152,22 @@ def looks_like_mojibake(text: Column) -> Column:
     return mojibake_score(text) >= 2
 
 
+# Where bytes read as Latin-1 are not UTF-8: a lead byte without its followers, a follower without a lead, overlong forms, surrogates.
+_NOT_UTF8 = (
+    r"[\u00c2-\u00df](?![\u0080-\u00bf])|[\u00e0-\u00ef](?![\u0080-\u00bf]{2})|[\u00f0-\u00f4](?![\u0080-\u00bf]{3})|[\u00c0\u00c1\u00f5-\u00ff]"
+    r"|\u00e0[\u0080-\u009f]|\u00ed[\u00a0-\u00bf]|\u00f0[\u0080-\u008f]|\u00f4[\u0090-\u00bf]"
+    r"|(?<![\u0080-\u00f4])[\u0080-\u00bf]|[\u00c2-\u00df][\u0080-\u00bf]{2}|[\u00e0-\u00ef][\u0080-\u00bf]{3}|[\u00f0-\u00f4][\u0080-\u00bf]{4}"
+)
+
+
+def repair_mojibake(text: Column) -> Column:
+    """UTF-8 that was once read as Latin-1, read right; the text itself where it can't be that, or nothing looks wrong.
+
+    The whole text is judged, by searches that need no backtracking over it.
+    """
+    once_latin = ~text.rlike("[^\u0000-\u00ff]") & ~text.rlike(_NOT_UTF8) & text.rlike("[\u00c2-\u00f4]")
+    return F.when(once_latin, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(text)
+
+
 def markdown_cell(value: Column) -> Column:
     return F.replace(F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))

@@ -83,3 +83,13 @@ def test_question_profile(spark):
 
 def test_clean_structure(spark):
     assert values(spark, T.clean_structure, "a\x00b  c \r\nd\n\n\n\n\ne  ") == ["ab c\nd\n\n\ne"]
+
+
+def test_repair_mojibake(spark):
+    from lakequill.functions.text import repair_mojibake
+
+    plain = ["", "plain", "café", "Ünïcode ñ", "xin chào các bạn", "日本語", "a\u0080b", "Ã", "Â©", "é" * 20_000, "👍 ok"]
+    rows = [(t, t) for t in plain if not t.startswith("Â")] + [(t.encode().decode("latin-1"), t) for t in plain] + [(None, None)]
+    got = spark.createDataFrame(rows, "broken string, want string").select(repair_mojibake(F.col("broken")).alias("got"), "want").collect()
+    for r in got:
+        assert r["got"] == r["want"]
