@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,11 +14,16 @@ from ..functions.text import markdown_cell
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a written table is there: its success marker, on any file system Spark knows."""
     try:
-        return not spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path).isEmpty() or bool(
-            spark.read.parquet(path).columns
-        )
-    except Exception:
-        return False
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException as exc:
+        if _is_missing(exc):
+            return False
+        raise
+
+
+def _is_missing(exc: AnalysisException) -> bool:
+    """Nothing is there yet: no such path, or no file in it."""
+    return exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def write_json(rows: DataFrame, path: str, append: bool = False) -> None:
@@ -34,8 +40,10 @@ def read_json_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON rows, or an empty table of the schema when nothing was written yet."""
     try:
         return spark.read.schema(schema).json(path)
-    except Exception:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as exc:
+        if _is_missing(exc):
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def markdown_rows(rows: DataFrame) -> DataFrame:
@@ -44,9 +52,9 @@ def markdown_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
-    """A small report table as text; for summaries, whose row count is bounded."""
-    lines = [r["line"] for r in markdown_rows(rows).limit(limit).collect()]
+def markdown_table(rows: DataFrame) -> str:
+    """A report table as text, every row of it; for summaries of one row per run, method or bucket."""
+    lines = [r["line"] for r in markdown_rows(rows).collect()]
     if not lines:
         return "_No rows._"
     head = "| " + " | ".join(c.replace("|", "\\|") for c in rows.columns) + " |"

@@ -223,3 +223,11 @@ def test_streaming_ingest_reads_each_file_once(spark, tmp_path):
         (root / "b.txt").write_text("second")
     rows = spark.read.parquet(str(store / "manifest")).select("content").collect()
     assert sorted(r[0] for r in rows) == ["first", "second"]
+
+
+def test_only_a_missing_path_counts_as_empty(spark, tmp_path):
+    assert not sinks.exists(spark, str(tmp_path / "nothing"))
+    assert sinks.read_json_or(spark, str(tmp_path / "nothing"), "a int").count() == 0
+    (tmp_path / "bad.parquet").write_text("this is no parquet file")
+    with pytest.raises(Exception):
+        sinks.exists(spark, str(tmp_path / "bad.parquet"))
