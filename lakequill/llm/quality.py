@@ -30,28 +30,35 @@ from .arrowtext import each_bytes
 from .shared import col, free_name
 
 CUT = 0.7
-N_FEATURES = 12
+N_FEATURES = 14
 _LIGHT = np.zeros(256, bool)
 _LIGHT[[ord(c) for c in ".,;:'\"?-()"]] = True
+_SYMBOLS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 _HEAVY = np.zeros(256, bool)
-_HEAVY[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = True
+_HEAVY[list(_SYMBOLS)] = True
 
 
 def text_features(raw: bytes) -> list[float]:
     """Shape of a text: length, character classes, and how much it repeats itself."""
-    words = raw.split()
-    if not words:
+    lines = [(line, line.split()) for line in raw.split(b"\n")]
+    lines = [(line, words) for line, words in lines if words]
+    if not lines:
         return [0.0] * N_FEATURES
-    n, kinds = len(words), len(set(words))
+    words = [w for _, ws in lines for w in ws] if len(lines) > 1 else lines[0][1]
+    n, kinds, twins = len(words), len(set(words)), 0
+    worst_symbols = worst_twins = 0.0  # of the worst line: a clean first line does not hide what follows
+    for line, own in lines:
+        same = sum(map(operator.eq, own, own[1:]))
+        twins += same
+        worst_twins = max(worst_twins, same / (len(own) + 3))
+        worst_symbols = max(worst_symbols, (len(line) - len(line.translate(None, _SYMBOLS))) / (len(own) + 1))
     histogram = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     upper, lower = histogram[65:91].sum(), histogram[97:123].sum()
     total = max(1, len(raw) - histogram[32] - histogram[9:14].sum())
-    lines = [x for x in raw.split(b"\n") if x]
-    twins = sum(map(operator.eq, words, words[1:]))
     return [
         np.log1p(n), np.log1p(total / n), upper / max(1, upper + lower), histogram[_HEAVY].sum() / total, histogram[48:58].sum() / total,
-        histogram[_LIGHT].sum() / total, np.log1p(kinds) / np.log1p(n), twins / n, kinds / n, len(set(lines)) / max(1, len(lines)),
-        histogram[128:].sum() / total, np.log1p(n / max(1, len(lines))),
+        histogram[_LIGHT].sum() / total, np.log1p(kinds) / np.log1p(n), twins / n, kinds / n, len({line for line, _ in lines}) / len(lines),
+        histogram[128:].sum() / total, np.log1p(n / len(lines)), np.sqrt(worst_symbols), np.sqrt(worst_twins),
     ]
 
 
