@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .shared import col
 
-LONG, _CALL, _KEEP, _STREAM = 400, 20_000, 300_000, 100_000
+LONG, _CALL, _KEEP, _STREAM = 400, 10_000, 200_000, 50_000
 
 _ENCODE = """
 WITH RECURSIVE tok(step, piece, pos, id) AS (
@@ -78,7 +78,7 @@ class Codec:
                 if left is not None and right is not None:
                     pairs.append((left * 1048576 + right, rank))
         table = np.array(pairs, np.int64).reshape(-1, 2)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self._create("merges", pa.table({"pair": table[:, 0], "rank": table[:, 1]}), "*")
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "token": pa.array(list(ranks), pa.binary())})
         self._create("vocab", words, "id, CAST(token AS VARCHAR) AS shown")  # bytes outside ASCII are shown escaped
@@ -99,6 +99,7 @@ class Codec:
         self.db.register("start", pa.table({"piece": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": pos, "id": ids}))
         rows = self.db.sql(_ENCODE).to_arrow_table()
         self.db.unregister("start")
+        pa.default_memory_pool().release_unused()  # else the worker keeps what one query needed
         lists = rows["ids"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
