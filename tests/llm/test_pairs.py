@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakequill.llm.ann import nearest
 from lakequill.llm.components import components
 from lakequill.llm.embedding_dedup import embedding_groups
-from lakequill.llm.simhash import RADIUS, keep_one_of_similar, pivots, simhash_groups
+from lakequill.llm.simhash import LEAST, MISS, RADIUS, WORDS, cell_sets, keep_one_of_similar, pivots, similar_radius, simhash_groups, sketch
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -180,6 +180,51 @@ def test_keep_one_of_similar(spark):
     assert keep_one_of_similar(frame.limit(0)).collect() == []
 
 
+def _around(seed=8, n=45):
+    """Texts with copies a little over and a little under the similarity of 0.8, chains of copies, and texts of one repeated shingle."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 12, 40, 150, 600]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(3):  # each a copy of the one before, so a group may be a chain
+            words, goal = list(words), rng.choice([0.7, 0.76, 0.79, 0.81, 0.84])
+            whole = " ".join(words)
+            while _jaccard(whole, " ".join(words)) > goal:
+                if rng.random() < 0.1:
+                    words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+                words.append(f"y{rng.randrange(10**6)}")
+            rows.append((len(rows), " ".join(words)))
+    for i in range(4):  # one shingle fills the majority of every bit, the sets have next to nothing in common
+        rows.append((len(rows), "again and again and again " * 300 + " ".join(f"z{rng.randrange(10**6)}" for _ in range(60))))
+    return rows
+
+
+@pytest.mark.parametrize("block_rows", [1000, 2])
+def test_keep_one_of_similar_is_exact_at_the_similarity(spark, block_rows):
+    rows = _around()
+    pairs = {(a, b): _jaccard(s, t) for a, s in rows for b, t in rows[a + 1 :]}
+    links = [p for p, s in pairs.items() if s >= 0.8]
+    assert len(links) > 30 and sum(0.65 <= s < 0.8 for s in pairs.values()) > 30
+    root = {i: i for i, _ in rows}
+    for a, b in sorted(links) * len(rows):
+        root[a] = root[b] = min(root[a], root[b])
+    kept = keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_rows=block_rows)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows if root[i] == i]
+
+
+def test_cells_find_pairs_at_the_similarity():
+    rng = np.random.default_rng(9)
+    sets = cell_sets(0.8)
+    missed = far = 0
+    for _ in range(1000):
+        words = [str(x) for x in rng.integers(0, 10**9, 44)]  # 40 shingles
+        a, b = sketch(" ".join(words[:40]).encode(), 5, sets), sketch(" ".join(words[4:]).encode(), 5, sets)  # 36 each, 32 of them shared
+        missed += not (a[1 + WORDS :] == b[1 + WORDS :]).any()
+        far += int(np.bitwise_count((a ^ b)[1 : 1 + WORDS].view(np.uint64)).sum()) > similar_radius(0.8)
+    assert missed + far <= 5
+    assert (1 - 0.8**LEAST) ** sets <= MISS <= 0.001
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
