@@ -34,9 +34,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of recurring templates; n_chars follows the text."""
+    """All documents, without lines of recurring templates but for the first text with each; n_chars follows the text."""
     ship_package(spark)
-    return drop_recurring_lines(docs).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    return drop_recurring_lines(docs, keep_first="doc_id").select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

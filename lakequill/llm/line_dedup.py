@@ -7,9 +7,13 @@ to a variable field too.  What is left is the line's template.  A template is
 recurring if at least ``min_docs`` documents hold it and at least ``alike`` of
 its tokens are fixed; recurring lines are dropped from every document.
 
-A document of which recurring lines make up more than ``most`` of the
-characters is a copy as a whole and stays untouched: near-duplicate stages see
-it in full.  Lines with fewer than ``min_tokens`` tokens are never dropped.
+With ``keep_first`` (the id column) no document is exempt: every template's lines
+stay in the text that holds it first (smallest id that is not null, then the
+text's hash) and go from all others.  Copies of a whole text are one text: they
+lose the same lines, so near-duplicate stages still see them as copies.  Without
+it, a document of which recurring lines make up more than ``most`` of the
+characters stays untouched.  Lines with fewer than ``min_tokens`` tokens are
+never dropped.
 
 Everything is counted over all documents.  Leaves with fewer than ``min_docs``
 documents go first, so only lines that may recur are ever split into rows of
@@ -53,7 +57,7 @@ def _doc_lines(text: Column, depth: int) -> Column:
 def recurring_lines(
     texts: DataFrame, text_col: str = "text", *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, alike: float = ALIKE,
 ) -> DataFrame:
-    """The distinct lines (column line) whose template recurs."""
+    """The distinct lines (column line) whose template (columns leaf, shape) recurs."""
     lines = (
         texts.select(F.explode_outer(_doc_lines(col(text_col), depth)).alias("x"))
         .filter(F.size("x.tokens") >= min_tokens)
@@ -68,25 +72,30 @@ def recurring_lines(
     shapes = fixed.groupBy("leaf", "id").agg(F.count("*").alias("n_fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("shape"))
     named = kinds.withColumn("id", F.xxhash64("line")).join(shapes, ["leaf", "id"]).filter(F.col("n_fixed") >= alike * F.size("tokens"))
     templates = named.groupBy("leaf", "shape").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs)
-    return named.join(templates.select("leaf", "shape"), ["leaf", "shape"], "left_semi").select("line")
+    return named.join(templates.select("leaf", "shape"), ["leaf", "shape"], "left_semi").select("line", "leaf", "shape")
 
 
-def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, most: float = MOST, **tree) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, most: float = MOST, keep_first: str | None = None, **tree) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text_col``, plus n_lines and n_dropped.
 
     Names n_lines and n_dropped that ``docs`` has already are replaced.
     """
     text = col(text_col)
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
-    texts = base.select(text.alias("text")).filter(F.col("text").isNotNull())
+    ident = col(keep_first) if keep_first else F.lit(None)
+    texts = base.select(ident.alias("id"), text.alias("text")).filter(F.col("text").isNotNull())
     dropped = settle(recurring_lines(texts, "text", **tree))
     # which of its lines a text loses depends on the text alone: joined by its hash
     key = lambda t: (F.xxhash64(t).alias("_h1"), F.hash(t).alias("_h2"))
     held = (
-        texts.select(*key(F.col("text")), F.explode_outer(F.array_distinct(F.split("text", "\n"))).alias("line"))
-        .join(broadcast_if_small(dropped), "line", "left_semi")
-        .groupBy("_h1", "_h2").agg(F.collect_set("line").alias("_lines"))  # at most the lines of one text
+        texts.select("id", *key(F.col("text")), F.explode_outer(F.array_distinct(F.split("text", "\n"))).alias("line"))
+        .join(broadcast_if_small(dropped if keep_first else dropped.select("line")), "line", "inner" if keep_first else "left_semi")
     )
+    if keep_first:
+        order = F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")
+        firsts = settle(held.groupBy("leaf", "shape").agg(F.min(order).alias("f")).select("leaf", "shape", F.col("f._h1").alias("_f1"), F.col("f._h2").alias("_f2")))
+        held = held.join(broadcast_if_small(firsts), ["leaf", "shape"]).filter((F.col("_h1") != F.col("_f1")) | (F.col("_h2") != F.col("_f2")))
+    held = held.groupBy("_h1", "_h2").agg(F.collect_set("line").alias("_lines"))  # at most the lines of one text
     names = [free_name(base, n) for n in ("_h1", "_h2", "_lines")]
     held = held.toDF(*names)
     h1, h2 = key(text)
@@ -94,7 +103,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, most: float
     lines, gone = F.split(text, "\n"), col(names[2])
     kept = F.filter(lines, lambda x: ~F.array_contains(gone, x))
     kept_text = F.array_join(kept, "\n")
-    act = gone.isNotNull() & (F.length(text) - F.length(kept_text) <= most * F.length(text))
+    act = gone.isNotNull() if keep_first else gone.isNotNull() & (F.length(text) - F.length(kept_text) <= most * F.length(text))
     n_lines = F.when(text.isNull() | (text == ""), 0).otherwise(F.size(lines))
     rows = rows.withColumns({"n_lines": n_lines, "n_dropped": F.when(act, F.size(lines) - F.size(kept)).otherwise(0)})
     rows = rows.withColumn(text_col, F.when(act, kept_text).otherwise(text))

@@ -210,6 +210,16 @@ def test_drop_recurring_lines(spark):
     assert drop_recurring_lines(docs.limit(0)).collect() == []
 
 
+def test_recurring_lines_stay_only_where_they_are_first(spark):
+    notice = "All rights reserved by the owners of this place.\nNo part of it may be copied without their written consent."
+    rows = [(i, f"{notice}\nown {w}") for i, w in enumerate("abcdefgh")]  # mostly boilerplate, copies of nothing
+    rows += [(40 + i, "a text that was copied as a whole\nwith every line of it again") for i in range(6)]
+    rows += [(None, f"{notice}\nown z"), (60, notice)]
+    got = sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first="doc_id").collect()), key=str)
+    want = [(0, rows[0][1], 0), *[(i, f"own {w}", 2) for i, w in enumerate("abcdefgh") if i], *[(i, t, 0) for i, t in rows[8:14]], (None, "own z", 2), (60, "", 2)]
+    assert got == sorted(want, key=str)
+
+
 # HTML
 
 def test_extract_given_pages(spark, data):
