@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill.llm import bpe, quality
-from lakequill.llm.line_dedup import drop_recurring_lines
+from lakequill.llm.line_dedup import LONG_TOKENS, drop_recurring_lines
 from lakequill.llm.mixing import mix_sources
 from lakequill.llm.shared import WORD
 from lakequill.llm.simhash import keep_one_of_similar
@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of recurring templates but for the first text with each; n_chars follows the text."""
     ship_package(spark)
-    return drop_recurring_lines(docs, keep_first="doc_id").select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    return drop_recurring_lines(docs, keep_first="doc_id", long_tokens=LONG_TOKENS).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

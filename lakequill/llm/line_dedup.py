@@ -5,13 +5,15 @@ tokens; a token with a digit is a variable field from the start.  In a leaf,
 a token that fewer than ``min_docs`` documents have at its place is generalised
 to a variable field too.  What is left is the line's template.  A template is
 recurring if at least ``min_docs`` documents hold it and at least ``alike`` of
-its tokens are fixed; recurring lines are dropped from every document.
+its tokens are fixed; recurring lines are dropped from every document.  With
+``long_tokens``, two documents are enough for lines of so many tokens or more:
+a leaf has lines of one token count, so a leaf has one such number.
 
 With ``keep_first`` (the id column) no document is exempt: every template's lines
 stay in the text that holds it first (smallest id that is not null, then the
 text's hash) and go from all others.  Copies of a whole text are one text: they
-lose the same lines, so near-duplicate stages still see them as copies.  Without
-it, a document of which recurring lines make up more than ``most`` of the
+lose the same lines, so near-duplicate stages still see them as copies.  A text
+that would lose all its lines keeps the first.  Without ``keep_first``, a document of which recurring lines make up more than ``most`` of the
 characters stays untouched.  Lines with fewer than ``min_tokens`` tokens are
 never dropped.
 
@@ -35,6 +37,8 @@ from .shared import col, free_name
 
 #: Fixed values of the tree and of what counts as recurring.
 DEPTH, MIN_DOCS, MIN_TOKENS, ALIKE, MOST = 3, 5, 3, 0.7, 0.5
+#: Tokens of a line that recurs from two documents on, where that is asked for.
+LONG_TOKENS = 50
 FIELD = "<*>"
 _BLANKS = r"[ \t\r\f\x0B]+"
 
@@ -56,22 +60,24 @@ def _doc_lines(text: Column, depth: int) -> Column:
 
 def recurring_lines(
     texts: DataFrame, text_col: str = "text", *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, alike: float = ALIKE,
+    long_tokens: int | None = None,
 ) -> DataFrame:
     """The distinct lines (column line) whose template (columns leaf, shape) recurs."""
+    need = lambda size: F.when(size >= long_tokens, min(2, min_docs)).otherwise(min_docs) if long_tokens else F.lit(min_docs)
     lines = (
         texts.select(F.explode_outer(_doc_lines(col(text_col), depth)).alias("x"))
         .filter(F.size("x.tokens") >= min_tokens)
         .select(F.col("x.line").alias("line"), F.col("x.tokens").alias("tokens"), _leaf(F.col("x.tokens"), depth).alias("leaf"))
     )
-    leaves = lines.groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.first(need(F.size("tokens"))).alias("need")).filter("n >= need").select("leaf")
     found = lines.join(broadcast_if_small(settle(leaves)), "leaf", "left_semi")
-    kinds = settle(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")))
-    placed = kinds.select("leaf", F.xxhash64("line").alias("id"), "n", F.posexplode_outer("tokens").alias("at", "token"))
-    common = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).filter((F.col("docs") >= min_docs) & (F.col("token") != FIELD))
+    kinds = settle(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")).withColumn("need", need(F.size("tokens"))))
+    placed = kinds.select("leaf", F.xxhash64("line").alias("id"), "n", "need", F.posexplode_outer("tokens").alias("at", "token"))
+    common = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs"), F.first("need").alias("need")).filter((F.col("docs") >= F.col("need")) & (F.col("token") != FIELD))
     fixed = placed.select("leaf", "id", "at", "token").join(common.select("leaf", "at", "token"), ["leaf", "at", "token"])
     shapes = fixed.groupBy("leaf", "id").agg(F.count("*").alias("n_fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("shape"))
     named = kinds.withColumn("id", F.xxhash64("line")).join(shapes, ["leaf", "id"]).filter(F.col("n_fixed") >= alike * F.size("tokens"))
-    templates = named.groupBy("leaf", "shape").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs)
+    templates = named.groupBy("leaf", "shape").agg(F.sum("n").alias("docs"), F.first("need").alias("need")).filter("docs >= need")
     return named.join(templates.select("leaf", "shape"), ["leaf", "shape"], "left_semi").select("line", "leaf", "shape")
 
 
@@ -102,6 +108,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, most: float
     rows = base.withColumns({names[0]: F.xxhash64(text), names[1]: F.hash(text)}).join(held, names[:2], "left")
     lines, gone = F.split(text, "\n"), col(names[2])
     kept = F.filter(lines, lambda x: ~F.array_contains(gone, x))
+    if keep_first:
+        kept = F.when(F.size(kept) == 0, F.slice(lines, 1, 1)).otherwise(kept)
     kept_text = F.array_join(kept, "\n")
     act = gone.isNotNull() if keep_first else gone.isNotNull() & (F.length(text) - F.length(kept_text) <= most * F.length(text))
     n_lines = F.when(text.isNull() | (text == ""), 0).otherwise(F.size(lines))

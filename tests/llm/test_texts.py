@@ -216,10 +216,18 @@ def test_recurring_lines_stay_only_where_they_are_first(spark):
     rows += [(40 + i, "a text that was copied as a whole\nwith every line of it again") for i in range(6)]
     rows += [(None, f"{notice}\nown z"), (60, notice)]
     got = sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first="doc_id").collect()), key=str)
-    want = [(0, rows[0][1], 0), *[(i, f"own {w}", 2) for i, w in enumerate("abcdefgh") if i], *[(i, t, 0) for i, t in rows[8:14]], (None, "own z", 2), (60, "", 2)]
+    want = [(0, rows[0][1], 0), *[(i, f"own {w}", 2) for i, w in enumerate("abcdefgh") if i], *[(i, t, 0) for i, t in rows[8:14]], (None, "own z", 2), (60, "All rights reserved by the owners of this place.", 1)]
     assert got == sorted(want, key=str)
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    long = lambda n: " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+    rows = [(1, f"{long(50)}\nown a"), (2, f"own b\n{long(50)}"), (3, f"{long(49)}\nown c"), (4, f"own d\n{long(49)}"), (5, f"{long(60)} 17\nown e"), (6, f"{long(60)} 18\nown f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in drop_recurring_lines(docs, keep_first="doc_id", long_tokens=50).collect()}
+    assert got == dict(rows) | {2: "own b", 6: "own f"}
+
+
 # HTML
 
 def test_extract_given_pages(spark, data):
