@@ -13,7 +13,7 @@ from .operators import answering as O
 from .operators.tableqa import long_cells
 from .plans import answering, chunk_bench
 from .session import ship_package
-from .providers.base import HashingEmbedder, LeadingSummary
+from .providers.base import HashingEmbedder
 from .sources import lake, sinks, tabular
 
 
@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> None:
         lost = wanted.join(pairs, "source", "left_anti").select("qid")
         expected = wanted.join(pairs, "source").select("qid", "file").distinct().join(lost, "qid", "left_anti")
         docs = manifest.select(F.col("relative_path").alias("file"), F.col("content").alias("text"))
-        table = chunk_bench.compare(docs, asked, expected, tuple(args.methods), ChunkBenchConfig(), HashingEmbedder(), LeadingSummary())
+        table = chunk_bench.compare(docs, asked, expected, tuple(args.methods), ChunkBenchConfig(), HashingEmbedder(), None)
         sinks.write_json(table, f"{args.output}/summary")
         return
     asked = questions.select(F.col("id").alias("qid"), "question", "answer_type")
