@@ -14,6 +14,7 @@ from .ann import nearest
 from .embedding_dedup import embedding_groups
 from .html_extract import extract_text
 from .html_extract import fit as fit_pages
+from .license_scan import BACK, RULES, SPAN, WEIGHT, digest, scan_licenses
 from .line_dedup import drop_recurring_lines
 from .mixing import mix_sources
 from .shared import LOWER, UPPER
@@ -145,3 +146,29 @@ def op8_embedding_groups(spark, folder):
 def op1_nearest(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+def _license_sql() -> str:
+    """The rules as rows: detections of each place, those that none covers, and the report."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({n}, {r.priority}, {text(r.label)}, {r.base}, {text(r.keyword)}, {text(f'^(?:{r.pattern}) ')}, {text(r.before and f'(?:^| ){r.before}$' or '')})" for n, r in enumerate(RULES))
+    weights = " ".join(f"WHEN {p} THEN {w}" for p, w in WEIGHT.items())
+    return rf"""
+WITH r(ord, pri, label, base, kw, pattern, before) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT rid, w, unnest(list_filter(range(len(w)), lambda i: list_contains(words, w[i + 1]))) AS i FROM d, (SELECT list(DISTINCT kw) AS words FROM r)),
+c AS (SELECT rid, i, r.*, regexp_extract(array_to_string(w[i + 1:i + {SPAN}], ' ') || ' ', pattern) AS hit,
+  CASE WHEN before = '' THEN ' ' WHEN i = 0 THEN '' ELSE regexp_extract(array_to_string(w[greatest(1, i - {BACK - 1}):i], ' ') || ' ', before) END AS lead FROM k JOIN r ON w[i + 1] = kw),
+m AS (SELECT *, i - length(ltrim(lead)) + length(replace(ltrim(lead), ' ', '')) AS s, i + length(hit) - length(replace(hit, ' ', '')) AS e FROM c WHERE hit <> '' AND lead <> ''),
+f AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.rid = m.rid AND o.pri <= m.pri AND o.s <= m.s AND o.e >= m.e
+  AND (o.e - o.s > m.e - m.s OR (o.e - o.s = m.e - m.s AND (o.pri < m.pri OR (o.pri = m.pri AND o.ord < m.ord)))))),
+b AS (SELECT rid, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM m WHERE base GROUP BY rid),
+l AS (SELECT rid, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, min(pri) AS best FROM (SELECT rid, label, pri FROM f UNION ALL SELECT rid, label, pri FROM m WHERE base) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE best {weights} ELSE 0 END AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)"""
+
+
+@query("op12_license_scan", _license_sql())
+def op12_license_scan(spark, folder):
+    return scan_licenses(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *digest())

@@ -28,7 +28,7 @@ def test_sql(spark, data, name):
 
 
 def test_ten_queries():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 13))
 
 
 def test_pipeline(spark, data, tmp_path):
