@@ -17,6 +17,7 @@ from .html_extract import fit as fit_pages
 from .license_scan import BACK, RULES, SPAN, WEIGHT, digest, scan_licenses
 from .line_dedup import drop_recurring_lines
 from .mixing import mix_sources
+from .negatives import mine_negatives
 from .shared import LOWER, UPPER
 from .simhash import simhash_groups
 from .substring_dedup import cut_repeats
@@ -172,3 +173,16 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)"""
 @query("op12_license_scan", _license_sql())
 def op12_license_scan(spark, folder):
     return scan_licenses(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *digest())
+
+
+@query("op11_hard_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""")
+def op11_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return mine_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
