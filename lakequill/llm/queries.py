@@ -18,6 +18,7 @@ from .license_scan import BACK, RULES, SPAN, WEIGHT, digest, scan_licenses
 from .line_dedup import drop_recurring_lines
 from .mixing import mix_sources
 from .negatives import mine_negatives
+from .prefix_trie import conversation_trie
 from .shared import LOWER, UPPER
 from .simhash import simhash_groups
 from .substring_dedup import cut_repeats
@@ -186,3 +187,32 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 *
 def op11_hard_negatives(spark, folder):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
     return mine_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+#: CRC-32 of ASCII text, bit by bit: a step is a byte to mix in or (-1) one shift.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, s: CASE WHEN s >= 0 THEN xor(crc, s) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END))"""
+
+
+@query("op13_prefix_trie", f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.*, (SELECT count(*) FROM t WHERE t.conv_id = c.base AND t.pos <= c.h) AS lent FROM c),
+r AS (SELECT b.conv_id, t.pos, role, text FROM b JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT b.conv_id, pos - h + lent, role, text FROM b JOIN t ON t.conv_id = b.conv_id AND pos > h),
+k AS (SELECT conv_id, pos, octet_length(encode(text)) AS bytes, md5(string_agg(md5(role) || md5(text), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos)) AS path FROM r),
+m AS (SELECT conv_id, 0 AS depth, '' AS path, NULL AS above, 0 AS bytes FROM c
+  UNION ALL SELECT conv_id, pos, path, coalesce(lag(path) OVER (PARTITION BY conv_id ORDER BY pos), ''), bytes FROM k),
+n AS (SELECT path, any_value(above) AS above, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM m GROUP BY path),
+s AS (SELECT above AS path, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY 1),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN s USING (path)),
+u AS (SELECT m.path, sum((w.n_convs - 1) * w.bytes) AS saved, count(*) FILTER (w.n_children = 0) AS leaves FROM w JOIN m ON m.conv_id = w.conv_id AND m.depth <= w.depth GROUP BY 1),
+e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, arg_max(path, depth) AS path FROM m GROUP BY 1) GROUP BY 1)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM w LEFT JOIN n AS p ON p.path = w.above JOIN u ON u.path = w.path LEFT JOIN e ON e.path = w.path""")
+def op13_prefix_trie(spark, folder):
+    conv = F.col("conv")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 9
+    nodes = conversation_trie(table(spark, folder, "conversations"), base=conv - conv % 5, heads=heads, most=8)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
