@@ -10,8 +10,7 @@ from ..functions.questions import profile
 from ..functions.text import match_key, words
 from ..operators import chunking as C
 from ..operators import hybrid as H
-from ..operators.bm25 import bm25_scores
-from ..operators.chargram import chargram_cosine
+from ..operators import bounded as B
 from ..operators.containment import contains_pairs, passages_in_texts
 from ..operators.direct import direct_matches, glob_matches
 from ..operators.ranking import top_k
@@ -59,14 +58,19 @@ def _bm25_sql(docs, doc_id, doc_text, asks, qid, q_text, tag=""):
 )
 def bm25_topk(spark, folder):
     """R01, J13, O02."""
-    scored = _bm25_docs(spark, folder)
-    return top_k(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    return _best_docs(spark, folder, B.TERMS)
 
 
-def _bm25_docs(spark, folder):
+def _best_docs(spark, folder, signal):
+    built = document_index(spark, folder, signal)
+    found = B.best_texts(built, 10).select("item_id", F.col("id").alias("doc_id"), F.round("v", 6).alias("score"))
+    return top_k(found, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+
+
+def document_index(spark, folder, signal):
+    """Whole documents and all passages, by one signal."""
     asks = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("question"))
-    scored = bm25_scores(documents(spark, folder), asks, id_col="doc_id", text_col="text", qid="item_id", query_col="question")
-    return scored.withColumn("score", F.round("score", 6))
+    return B.index(documents(spark, folder), asks, signals=[signal], id_col="doc_id", text_col="text", qid="item_id", query_col="question")
 
 
 # ---------------------------------------------------------------- character grams
@@ -108,18 +112,10 @@ _COSINE_TAIL = """, r AS (SELECT qid AS item_id, id AS doc_id, round(score, 6) A
     SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10"""
 
 
-def _cosine_docs(spark, folder, with_query):
-    asks = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("question"))
-    scored = chargram_cosine(
-        documents(spark, folder), asks, id_col="doc_id", text_col="text", qid="item_id", query_col="question", fit_includes_query=with_query
-    )
-    return top_k(scored.withColumn("score", F.round("score", 6)), ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
-
-
 @query("chargram_tfidf_topk", f"WITH {_cosine_sql('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text', 'documents')}{_COSINE_TAIL}")
 def chargram_tfidf_topk(spark, folder):
     """Idf fitted on the corpus only."""
-    return _cosine_docs(spark, folder, False)
+    return _best_docs(spark, folder, B.GRAMS)
 
 
 @query(
@@ -128,7 +124,7 @@ def chargram_tfidf_topk(spark, folder):
 )
 def chargram_with_query_topk(spark, folder):
     """Idf fitted on the corpus plus the query."""
-    return _cosine_docs(spark, folder, True)
+    return _best_docs(spark, folder, B.GRAMS_QUERY)
 
 
 # ---------------------------------------------------------------- fused retrieval over chunks
@@ -158,9 +154,7 @@ def _fused_sql(wv, wb, with_query):
     fx AS (SELECT *, round({wv} * v + {wb} * b, 9) AS combined, CASE WHEN v > b * 1.3 THEN 'vector' WHEN b > v * 1.3 THEN 'bm25' ELSE 'hybrid' END AS reason FROM fu)"""
 
 
-@query(
-    "hybrid_topk",
-    f"""WITH {_fused_sql(0.5, 0.5, False)},
+_HYBRID_SQL = f"""WITH {_fused_sql(0.5, 0.5, False)},
     sc AS (SELECT fx.*, row_number() OVER (PARTITION BY qid ORDER BY combined DESC, chunk_id) AS rn FROM fx WHERE combined > 0),
     sd AS (SELECT sc.*, split_part(chunk_id, '::', 1) AS file_id, multi FROM sc JOIN q USING (qid)),
     pl AS (SELECT qid, file_id, multi, max(combined) AS score, max({{'c': combined, 'i': chunk_id, 'r': reason}}).r AS reason FROM sd GROUP BY ALL),
@@ -171,9 +165,11 @@ def _fused_sql(wv, wb, with_query):
             AND NOT {S.word('k', V.TABLE_WORDS + V.COMPUTATION_TERMS)} THEN 0.05 ELSE 0 END, 9) + CASE WHEN rr.file_id IS NULL THEN 0 ELSE 3 END AS score,
             CASE WHEN rr.file_id IS NULL THEN reason ELSE 'rare_keyword' END AS reason
         FROM pl JOIN f USING (file_id) JOIN q USING (qid) LEFT JOIN rr ON rr.qid = pl.qid AND rr.file_id = pl.file_id),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM bx)
-    SELECT qid AS item_id, path AS relative_path, score, reason, CAST(rank AS INT) AS rank FROM rk WHERE rank <= CASE WHEN multi THEN 14 ELSE 8 END""",
-)
+    rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM bx),
+    top AS (SELECT * FROM rk WHERE rank <= CASE WHEN multi THEN 14 ELSE 8 END)"""
+
+
+@query("hybrid_topk", f"{_HYBRID_SQL} SELECT qid AS item_id, path AS relative_path, score, reason, CAST(rank AS INT) AS rank FROM top")
 def hybrid_topk(spark, folder):
     """Flagship: R10, R12-R14, W08, G16, F09, F10, O01, O02, J02, J06, J19, R16 over chunks."""
     manifest, chunks = lake(spark, folder)
@@ -183,15 +179,17 @@ def hybrid_topk(spark, folder):
 
 @query(
     "hybrid_top_chunks",
-    f"""WITH {_fused_sql(0.5, 0.5, False)},
-    s4 AS (SELECT qid, chunk_id, combined AS score, row_number() OVER (PARTITION BY qid, split_part(chunk_id, '::', 1) ORDER BY combined DESC, chunk_id) AS rank FROM fx WHERE combined > 0)
-    SELECT qid AS item_id, chunk_id, score, CAST(rank AS INT) AS rank, md5(text) AS text_md5 FROM s4 JOIN c USING (chunk_id) WHERE rank <= 4""",
+    f"""{_HYBRID_SQL},
+    s4 AS (SELECT fx.qid, chunk_id, combined AS score, row_number() OVER (PARTITION BY fx.qid, top.file_id ORDER BY combined DESC, chunk_id) AS rank
+        FROM fx JOIN top ON top.qid = fx.qid AND top.file_id = split_part(chunk_id, '::', 1) WHERE combined > 0)
+    SELECT qid AS item_id, chunk_id, s4.score, CAST(rank AS INT) AS rank, md5(text) AS text_md5 FROM s4 JOIN c USING (chunk_id) WHERE rank <= 4""",
 )
 def hybrid_top_chunks(spark, folder):
-    """The four best chunks of every file per question."""
-    _, chunks = lake(spark, folder)
-    fused = H.chunk_scores(settle(profile(questions(spark, folder))), chunks, 0.5, 0.5)
-    best = H.top_chunks(fused, chunks)
+    """The four best chunks of every candidate file per question."""
+    manifest, chunks = lake(spark, folder)
+    asked = settle(profile(questions(spark, folder)))
+    indexes = H.retrieval_index(asked, chunks)
+    best = H.top_chunks(indexes, settle(H.retrieve(asked, manifest, chunks, indexes=indexes)), chunks)
     return best.select(F.col("qid").alias("item_id"), "chunk_id", F.col("combined").alias("score"), "rank", F.md5("text").alias("text_md5"))
 
 

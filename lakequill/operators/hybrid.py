@@ -11,35 +11,13 @@ from ..functions.arrays import rows_of
 from ..functions.questions import is_counting_question, needs_pattern_set
 from ..functions.text import match_key, tokens
 from ..scale import broadcast_if_small, settle
-from .bm25 import bm25_scores
-from .chargram import chargram_cosine
+from . import bounded as B
 from .direct import direct_matches
 from .ranking import dominant_signal, rank_complete, top_k
 
 DIGITS = 9  # scores are rounded before ranking, so that summation order cannot change a rank
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, qid: str, id_col: str, vector_weight: float, keyword_weight: float) -> DataFrame:
-    """(qid, id, v, b, combined): both scores divided by their maximum per query, then mixed.
-
-    Both inputs are already spread by (qid, id), so the outer join adds no
-    shuffle; peaks are one small row per query.
-    """
-    both = vector.withColumnRenamed("score", "_v").join(keyword.withColumnRenamed("score", "_b"), [qid, id_col], "full")
-    both = settle(both.select(qid, id_col, F.coalesce("_v", F.lit(0.0)).alias("_v"), F.coalesce("_b", F.lit(0.0)).alias("_b")))
-    peaks = both.groupBy(qid).agg(F.max("_v").alias("_pv"), F.max("_b").alias("_pb"))
-    scaled = both.join(broadcast_if_small(peaks), qid)
-
-    def share(score: str, peak: str) -> Column:
-        return F.when(F.col(peak) > 0, F.col(score) / F.col(peak)).otherwise(F.lit(0.0))
-
-    return (
-        scaled.withColumn("v", share("_v", "_pv"))
-        .withColumn("b", share("_b", "_pb"))
-        .select(qid, id_col, "v", "b", F.round(vector_weight * F.col("v") + keyword_weight * F.col("b"), DIGITS).alias("combined"))
-    )
-
-
 def _file_id(chunk_id: Column) -> Column:
     return F.element_at(F.split(chunk_id, "::"), 1)
 
@@ -68,33 +46,51 @@ def rare_keyword_files(profiles: DataFrame, chunks: DataFrame, *, file_col: str
     return holders.join(rare, "term").join(wanted, "term").select("qid", file_col).distinct()
 
 
-def chunk_scores(profiles: DataFrame, chunks: DataFrame, vector_weight: float, keyword_weight: float, *, fit_includes_query: bool = False) -> DataFrame:
-    names = dict(id_col="chunk_id", text_col="text", qid="qid", query_col="search_query")
-    keyword = bm25_scores(chunks, profiles, **names)
-    vector = chargram_cosine(chunks, profiles, fit_includes_query=fit_includes_query, **names)
-    return fuse(vector, keyword, "qid", "chunk_id", vector_weight, keyword_weight)
+def chunk_index(
+    profiles: DataFrame, chunks: DataFrame, vector_weight: float, keyword_weight: float, full: float, cross_file: float, *, fit_includes_query: bool = False
+) -> list[B.Index]:
+    """Chunks ready for passes with the questions: both signals over their peaks, and the modality bonus of each hint."""
+    hints = sorted(r[0] or "" for r in profiles.select("modality_hint").distinct().collect())  # a handful of modalities
+    bonus = [modality_bonus(F.lit(h), F.col("modality"), F.col("extension"), full, cross_file) for h in hints] or [F.lit(0.0)]
+    hint = (F.array_position(F.array(*[F.lit(h) for h in hints]), F.coalesce("modality_hint", F.lit(""))) - 1).cast("int") if hints else F.lit(0)
+    built = B.index(
+        chunks, profiles, signals=[B.GRAMS_QUERY if fit_includes_query else B.GRAMS, B.TERMS], shares=[vector_weight, keyword_weight], digits=DIGITS,
+        id_col="chunk_id", file_col="relative_path", text_col="text", qid="qid", query_col="search_query", bonus=bonus, hint=hint,
+    )
+    return [ix.fit_peaks() for ix in built]
+
+
+def retrieval_index(profiles: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig()) -> list[B.Index]:
+    return chunk_index(profiles, chunks, config.vector_weight, config.bm25_weight, config.modality_boost, config.modality_boost / 3)
 
 
 def retrieve(
-    profiles: DataFrame, manifest: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig(), fused: DataFrame | None = None
+    profiles: DataFrame, manifest: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig(), indexes: list[B.Index] | None = None
 ) -> DataFrame:
     """Ranked candidate files per question: (qid, file_id, relative_path, modality, extension, score, reason, rank).
 
     Chunk scores are pooled by maximum per file, joined with direct hits and
-    boosted by rare keywords; then the threshold and the final cut apply.
+    boosted by rare keywords; then the threshold and the final cut apply.  The
+    tasks that score hand on their best files, those that a rare keyword may
+    lift, and the best chunk; scores of all questions and chunks exist nowhere.
     """
-    if fused is None:
-        fused = chunk_scores(profiles, chunks, config.vector_weight, config.bm25_weight)
+    if indexes is None:
+        indexes = retrieval_index(profiles, chunks, config)
     asked = profiles.select("qid", "key", "modality_hint", "needs_multiple_sources",
                             F.concat("wildcard_patterns", "quoted_phrases", "explicit_file_hints").alias("_hints"))
     small_asked = broadcast_if_small(asked)
-    positive = fused.filter(F.col("combined") > 0).withColumn("file_id", _file_id(F.col("chunk_id")))
-    scanned = positive.withColumn("reason", dominant_signal(F.col("v"), F.col("b")))
-    pooled = scanned.groupBy("qid", "file_id").agg(F.max(F.struct("combined", "chunk_id", "reason")).alias("_best"))
-    pooled = pooled.select("qid", "file_id", F.col("_best.combined").alias("score"), F.col("_best.reason").alias("reason"))
-
     files = manifest.select("file_id", "relative_path", "modality", "extension")
-    pooled = pooled.join(files, "file_id").join(small_asked.select("qid", "modality_hint"), "qid")
+    rare = settle(rare_keyword_files(profiles.filter("needs_multiple_sources"), chunks, file_col="relative_path").withColumn("_rare", F.lit(True)))
+    lifted, widest = rare.select("qid", F.col("relative_path").alias("label")), max(config.top_k, config.cross_file_top_k)
+
+    def reducers(ix):
+        n, hints = len(ix.names), ix.hints
+        return lambda: [B.Top(n, widest, "file", 1, hints), B.Top(n, 1, "id", 0), B.Wanted(1, 2, larger_text=True)]
+
+    scanned = settle(B.union([ix.scan(reducers(ix), lifted).withColumn("reason", dominant_signal(*ix.shares_of())) for ix in indexes]))
+    pooled = scanned.filter("kind > 0").groupBy("qid", F.col("file").alias("relative_path")).agg(F.max(F.struct("score", "id", "reason")).alias("_best"))
+    pooled = pooled.select("qid", "relative_path", F.col("_best.score").alias("score"), F.col("_best.reason").alias("reason"))
+    pooled = pooled.join(files, "relative_path").join(small_asked.select("qid", "modality_hint"), "qid")
     bonus = modality_bonus(F.col("modality_hint"), F.col("modality"), F.col("extension"), config.modality_boost, config.modality_boost / 3)
     pooled = pooled.select("qid", "relative_path", "file_id", "modality", "extension", F.round(F.col("score") + bonus, DIGITS).alias("score"), "reason")
 
@@ -105,7 +101,6 @@ def retrieve(
     named = named.join(files, named["path"] == files["relative_path"]).select(
         "qid", "relative_path", "file_id", "modality", "extension", F.lit(V.DIRECT_SCORE).alias("score"), "reason"
     )
-    rare = rare_keyword_files(profiles.filter("needs_multiple_sources"), chunks).withColumn("_rare", F.lit(True))
     merged = (
         pooled.withColumn("_direct", F.lit(False))
         .unionByName(named.withColumn("_direct", F.lit(True)))
@@ -115,11 +110,11 @@ def retrieve(
             F.max("_direct").alias("_direct"),
         )
         .select("qid", "file_id", "_b.*", "_direct")
-        .join(rare, ["qid", "file_id"], "left")
+        .join(rare, ["qid", "relative_path"], "left")
         .withColumn("score", F.when(F.col("_rare"), F.col("score") + V.RARE_KEYWORD_BOOST).otherwise(F.col("score")))
         .withColumn("reason", F.when(F.col("_rare"), F.lit("rare_keyword")).otherwise(F.col("reason")))
     )
-    best = positive.groupBy("qid").agg(F.max("combined").alias("_semantic"))
+    best = scanned.filter("kind = 0").groupBy("qid").agg(F.max("score").alias("_semantic"))
     return _cut(settle(merged), best, small_asked, config)
 
 
@@ -150,39 +145,45 @@ def _cut(merged: DataFrame, best: DataFrame, asked: DataFrame, config: EngineCon
     return ranked.select(*columns).unionByName(complete.select(*columns))
 
 
-def top_chunks(fused: DataFrame, chunks: DataFrame, per_file: int = V.CHUNKS_PER_FILE) -> DataFrame:
-    """Best chunks of every (question, file)."""
-    scored = fused.filter(F.col("combined") > 0).withColumn("file_id", _file_id(F.col("chunk_id")))
-    best = settle(top_k(scored, ["qid", "file_id"], [F.desc("combined"), F.asc("chunk_id")], per_file))
+def top_chunks(indexes: list[B.Index], candidates: DataFrame, chunks: DataFrame, per_file: int = V.CHUNKS_PER_FILE) -> DataFrame:
+    """Best chunks of the candidate files (qid, relative_path) of each question: (qid, file_id, chunk_id, combined, rank, text)."""
+    pairs = candidates.select("qid", F.col("relative_path").alias("label"))
+    found = B.union([ix.scan(lambda: [B.Wanted(per_file, 1)], pairs) for ix in indexes])
+    found = found.select("qid", F.col("id").alias("chunk_id"), F.col("score").alias("combined")).withColumn("file_id", _file_id(F.col("chunk_id")))
+    best = top_k(found, ["qid", "file_id"], [F.desc("combined"), F.asc("chunk_id")], per_file)
     return best.join(chunks.select("chunk_id", "text"), "chunk_id")
 
 
 def retrieve_sum_pooled(
-    profiles: DataFrame, manifest: DataFrame, chunks: DataFrame, top: int = 8, fused: DataFrame | None = None
+    profiles: DataFrame, manifest: DataFrame, chunks: DataFrame, top: int = 8, indexes: list[B.Index] | None = None
 ) -> DataFrame:
     """Earlier product: chunk scores plus bonus are summed per file, direct hits add 5.
 
     ``profiles`` use the earlier analyser.  The idf is fitted on chunks plus the query.
     """
-    if fused is None:
+    if indexes is None:
         keyword_weight, vector_weight = V.SUMPOOL_WEIGHTS
-        fused = chunk_scores(profiles, chunks, vector_weight, keyword_weight, fit_includes_query=True)
+        indexes = chunk_index(profiles, chunks, vector_weight, keyword_weight, V.SUMPOOL_MODALITY_BONUS, V.SUMPOOL_CROSS_FILE_BONUS, fit_includes_query=True)
     asked = broadcast_if_small(profiles.select("qid", "key", "modality_hint", F.col("explicit_file_hints").alias("_hints")))
     files = manifest.select("file_id", "relative_path", "modality", "extension")
-    scored = fused.filter(F.col("combined") > 0).withColumn("reason", dominant_signal(F.col("v"), F.col("b")))
-    summed = scored.groupBy("qid", _file_id(F.col("chunk_id")).alias("file_id")).agg(
-        F.sum("combined").alias("_sum"), F.count("*").alias("_n"), F.max(F.struct("combined", "chunk_id", "reason")).alias("_best")
-    )
-    bonus = modality_bonus(F.col("modality_hint"), F.col("modality"), F.col("extension"), V.SUMPOOL_MODALITY_BONUS, V.SUMPOOL_CROSS_FILE_BONUS)
-    summed = summed.join(files, "file_id").join(asked.select("qid", "modality_hint"), "qid").select(
-        "qid", "file_id", "relative_path", "modality", (F.col("_sum") + F.col("_n") * bonus).alias("score"),
-        (F.col("_best.combined") + bonus).alias("_top"), F.col("_best.reason").alias("reason"),
-    )
     named = direct_matches(
         profiles.select("qid", "question", F.concat("explicit_file_hints", "quoted_phrases").alias("hints"), F.lit(None).cast("array<string>").alias("patterns")),
         manifest,
         inline_wildcards=True,
     )
+    named = settle(named)
+    hinted = named.select("qid", F.col("path").alias("label"))
+    scanned = B.union([
+        ix.scan(lambda n=len(ix.names), hints=ix.hints: [B.Sums(n, top, hints)], hinted)
+        .withColumn("reason", dominant_signal(*ix.shares_of()))
+        .withColumn("combined", F.round(ix.shares[0] * ix.shares_of()[0] + ix.shares[1] * ix.shares_of()[1], DIGITS))
+        for ix in indexes
+    ])
+    summed = scanned.groupBy("qid", F.col("file").alias("relative_path")).agg(F.sum("score").alias("score"), F.max(F.struct("combined", "id", "reason")).alias("_best"))
+    bonus = modality_bonus(F.col("modality_hint"), F.col("modality"), F.col("extension"), V.SUMPOOL_MODALITY_BONUS, V.SUMPOOL_CROSS_FILE_BONUS)
+    summed = summed.join(files, "relative_path").join(asked.select("qid", "modality_hint"), "qid").select(
+        "qid", "file_id", "relative_path", "modality", "score", (F.col("_best.combined") + bonus).alias("_top"), F.col("_best.reason").alias("reason"),
+    )
     named = named.join(files, named["path"] == files["relative_path"]).select(
         "qid", "file_id", "relative_path", "modality", F.lit(V.SUMPOOL_DIRECT_SCORE).alias("score"), F.lit(V.SUMPOOL_DIRECT_SCORE).alias("_top"), "reason"
     )

@@ -13,7 +13,7 @@ from ..functions.questions import merge_model_analysis, profile
 from ..operators import answering as O
 from ..operators import tableqa as Q
 from ..operators.chunking import lake_chunks
-from ..operators.hybrid import chunk_scores, retrieve, top_chunks
+from ..operators.hybrid import retrieval_index, retrieve, top_chunks
 from ..providers.base import Providers, ask
 from ..scale import settle
 from ..sources import sinks
@@ -90,9 +90,9 @@ def run(
     providers = providers or Providers()
     profiles = analyse(questions, providers)
     chunks = settle(lake_chunks(manifest, config.chunk_chars, config.chunk_overlap))
-    fused = settle(chunk_scores(profiles, chunks, config.vector_weight, config.bm25_weight))
-    candidates = settle(retrieve(profiles, manifest, chunks, config, fused))
-    best = top_chunks(fused, chunks)
+    indexes = retrieval_index(profiles, chunks, config)
+    candidates = settle(retrieve(profiles, manifest, chunks, config, indexes))
+    best = top_chunks(indexes, candidates, chunks)
     texts = _candidate_text(candidates, best, manifest)
     flagged = candidates.join(profiles.select("qid", "needs_multiple_sources"), "qid")
     blocks = settle(_blocks(flagged, texts, config))
