@@ -35,19 +35,20 @@ from pyspark.sql import types as T
 
 from .shared import col
 
-LONG, _CALL, _KEEP, _STREAM = 400, 10_000, 200_000, 50_000
+LONG, _CALL, _KEEP, _STREAM = 400, 20_000, 200_000, 150_000
 
 _ENCODE = """
-WITH RECURSIVE tok(step, piece, pos, id) AS (
-  SELECT 0, piece, pos, id FROM start
+WITH RECURSIVE tok(step, piece, pos, id, nxt, nid) AS (  -- a token knows the place and id of the next one (-1: none)
+  SELECT CAST(0 AS SMALLINT), piece, pos, id, nxt, nid FROM start
   UNION ALL
-  (WITH pairs AS (
-     SELECT piece, pos, id * 1048576 + lead(id) OVER w AS pair, lead(pos) OVER w AS nxt
-     FROM tok WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-   best AS (  -- rank, place and next place of the leftmost pair of minimum rank
-     SELECT piece, min((rank << 24) | (pos << 12) | nxt) AS low FROM pairs JOIN merges USING (pair) GROUP BY piece)
-   SELECT step + 1, piece, pos, CASE WHEN pos = (low >> 12) & 4095 THEN low >> 24 ELSE id END
-   FROM tok JOIN best USING (piece) WHERE pos <> low & 4095))
+  (WITH best AS (  -- rank, place and next place of the leftmost pair of minimum rank
+     SELECT piece, min((rank << 24) | (CAST(pos AS BIGINT) << 12) | nxt) AS low FROM tok JOIN merges ON pair = CAST(id AS BIGINT) * 1048576 + nid GROUP BY piece),
+   gone AS (  -- the pair's second token, whose next one the contracted token takes over
+     SELECT best.piece, CAST(low >> 24 AS INTEGER) AS rank, CAST((low >> 12) & 4095 AS SMALLINT) AS first, tok.pos AS second, tok.nxt, tok.nid
+     FROM best JOIN tok ON tok.piece = best.piece AND tok.pos = CAST(low & 4095 AS SMALLINT))
+   SELECT CAST(step + 1 AS SMALLINT), piece, pos, CASE WHEN pos = first THEN rank ELSE id END, CASE WHEN pos = first THEN gone.nxt ELSE tok.nxt END,
+     CASE WHEN pos = first THEN gone.nid WHEN tok.nxt = first THEN rank ELSE tok.nid END
+   FROM tok JOIN gone USING (piece) WHERE pos <> second))
 SELECT piece, list(CAST(id AS UINTEGER) ORDER BY pos) AS ids, CAST(array_to_string(list(shown ORDER BY pos), '') AS BLOB) AS decoded
 FROM tok JOIN (SELECT piece, max(step) AS step FROM tok GROUP BY piece) USING (piece, step) JOIN vocab USING (id)
 GROUP BY piece ORDER BY piece"""
@@ -70,7 +71,7 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -78,7 +79,8 @@ class Codec:
                 if left is not None and right is not None:
                     pairs.append((left * 1048576 + right, rank))
         table = np.array(pairs, np.int64).reshape(-1, 2)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})  # nothing is spilled to a local folder
         self._create("merges", pa.table({"pair": table[:, 0], "rank": table[:, 1]}), "*")
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "token": pa.array(list(ranks), pa.binary())})
         self._create("vocab", words, "id, CAST(token AS VARCHAR) AS shown")  # bytes outside ASCII are shown escaped
@@ -94,9 +96,12 @@ class Codec:
         raw = [p.encode() for p in pieces]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(sizes)
-        pos = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int16)
         ids = self.single[np.frombuffer(b"".join(raw), np.uint8)]
-        self.db.register("start", pa.table({"piece": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": pos, "id": ids}))
+        nxt, nid = pos + np.int16(1), np.r_[ids[1:], ids[:1]]
+        nxt[ends - 1] = nid[ends - 1] = -1
+        piece = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        self.db.register("start", pa.table({"piece": piece, "pos": pos, "id": ids, "nxt": nxt, "nid": nid}))
         rows = self.db.sql(_ENCODE).to_arrow_table()
         self.db.unregister("start")
         pa.default_memory_pool().release_unused()  # else the worker keeps what one query needed
@@ -128,8 +133,8 @@ class Codec:
             for k in (before[i], i):
                 if k >= 0 and (s := rank(k)) is not None:
                     heapq.heappush(heap, (s, k))
-        left = [t for t in token if t is not None]
-        self.new[piece] = (np.array([self.ranks[t] for t in left], "<u4").tobytes(), b"".join(left))
+        ids = [self.ranks[t] for t in token if t is not None]
+        self.new[piece] = (np.array(ids, "<u4").tobytes(), b"".join([self.token[i] for i in ids]))
 
     def learn(self, pieces) -> None:
         """Encode and decode what neither generation holds."""
@@ -245,7 +250,7 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, text_col: str = "
 
     @F.arrow_udf(kind)
     def coded(texts: pa.Array) -> pa.Array:
-        counts, of_ids, of_bytes, blobs = [], [], [], []
+        counts, of_ids, of_bytes, all_ids = [], [], [], bytearray()
         for stretches in _codec(shared, pattern).each(x.as_py() for x in texts):
             n, a, b = 0, hashlib.sha256(), hashlib.sha256()
             for stretch in stretches:
@@ -254,13 +259,13 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, text_col: str = "
                 a.update(blob)
                 b.update(b"".join([decoded for _, decoded in stretch]))
                 if keep_ids:
-                    blobs.append(blob)
+                    all_ids += blob
             counts.append(n)
             of_ids.append(a.hexdigest())
             of_bytes.append(b.hexdigest())
         columns = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
         if keep_ids:
-            flat = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
+            flat = pa.Array.from_buffers(pa.int32(), len(all_ids) // 4, [None, pa.py_buffer(all_ids)])
             columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), flat))
         return pa.StructArray.from_arrays(columns, names=kind.names)
 
