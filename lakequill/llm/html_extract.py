@@ -15,7 +15,10 @@ page and the whole html, row by row, with no shuffle.
 Defined results: a null or empty page has an empty text.  White space (no-break
 space included) inside a block becomes one space; ``br`` is white space; blocks
 are joined by a blank line.  Broken markup is read leniently: a tag that is
-never closed ends with its parent.
+never closed ends with its parent, and a quote counts only right after an
+attribute's "=".  Text outside of all elements, and after ``</html>``, belongs to
+the body (an implied one if there is none); a page without any block element,
+such as plain text, is kept whole.  Repeated rows each get their text.
 """
 
 from __future__ import annotations
@@ -51,7 +54,9 @@ AGAINST = frozenset(
     "feedback footer footnav form gdpr header legal links login masthead menu menubar meta modal nav navbar navigation newsletter notice overlay pagination pager paywall popup privacy promo promoted "
     "recommended related reply replies respond reader responses search share sharing shop sidebar sidenav signup site sitemap skyscraper social sponsor sponsored subscribe tag tags teaser toc toolbar tools warning widget alert".split()
 )
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
+# An attribute is a name, and after "=" a quoted or bare value: a quote counts only there, one that never closes is part of a bare value.
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>]*+"
+_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/|=|[^\s/>=]++(?:\s*+=\s*+(?:{_VALUE}))?)*+)(?:>|\Z)|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = re.compile(r"[.,;!?]")
@@ -176,6 +181,12 @@ def parse(html: str) -> Page:
     if not hidden and at < len(html):
         text.append(html[at:])
     end_block()
+    if any(node == 0 for node, _ in page.blocks):  # text outside of all elements belongs to the body, an implied one if there is none
+        if "body" not in page.tag:
+            for values, value in ((page.parent, 0), (page.tag, "body"), (page.attrs, ""), (page.links, page.links[0]), (page.tags, page.tags[0]), (page.inputs, 0)):
+                values.append(value)
+        body = page.tag.index("body")
+        page.blocks = [(node or body, words) for node, words in page.blocks]
     return page
 
 
@@ -266,7 +277,9 @@ def main_texts(pages: list[str], forest: Forest) -> list[str]:
     out, at = [], 0
     for page, row in zip(parsed, rows):
         keep = choose(page.parent, scores[at : at + len(row)])
-        keep[0] = False  # text outside of every element
+        keep[0] = False
+        if all(t in ("#page", "html", "body") for t in page.tag):  # no block to choose from: all of the page is its text
+            keep = [True] * len(keep)
         at += len(row)
         out.append("\n\n".join(words for node, words in page.blocks if keep[node]))
     return out
@@ -376,7 +389,9 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Fores
     """Train on at most ``sample`` pages of no more than 200 000 characters, drawn by hash."""
     html = col(html_col)
     rows = pages.filter(F.length(html).between(1, 200_000)).select(html.alias("h"), F.xxhash64(html).alias("o"))
-    return train([r["h"] for r in rows.orderBy("o", "h").limit(sample).collect()])
+    least = rows.select("o").distinct().orderBy("o").limit(sample)  # only hashes are ordered; then their pages are fetched
+    drawn = rows.join(F.broadcast(least), "o").groupBy("o").agg(F.min("h").alias("h"))
+    return train([r["h"] for r in sorted(drawn.collect())])
 
 
 def extract_text(pages: DataFrame, forest: Forest, html_col: str = "html", out: str = "text") -> DataFrame:

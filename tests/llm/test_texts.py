@@ -259,6 +259,22 @@ def test_extract_other_pages(spark, data):
     assert train([]).probability(np.zeros((2, 34))).tolist() == pytest.approx([0.999, 0.999])
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<article><p title=it's>Hello world one</p><p>it's two</p><p>three</p></article>", ["Hello world one", "it's two", "three"]),
+    ("<article><p class=foo'>Hello</p><p a='x>y' b=\"'\">two</p></article>", ["Hello", "two"]),
+    ("<p '>a</p><p x = \"1>2\" y>b</p><p z=\"never>c", ["a", "b", "c"]), ("<p/ q=a/b>a<br/>b</p>", ["a b"]), ("a < b and c > d", ["a < b and c > d"]),
+    ("plain text, no markup", ["plain text, no markup"]), ("<b>Bold</b> and <a href=x>link</a> text<br>more", ["Bold and link text more"]),
+    ("<html><body><p>in</p></body></html>after", ["in", "after"]), ("<p " + "a" * 5000, []),
+])
+def test_parse_attributes_and_bare_text(html, want):
+    assert [w for _, w in parse(html).blocks] == want
+
+
+def test_plain_pages_are_kept_whole(spark, data):
+    forest = fit(spark.read.parquet(f"{data}/pages.parquet"))
+    assert main_texts(["plain text", "<b>Bold</b> and <a href=x>link</a> text<br>more", "<html><body>only &amp; body</body></html>"], forest) == ["plain text", "Bold and link text more", "only & body"]
+
+
 def test_parse_is_lenient():
     page = parse("<ul><li>a<li>b &lt;<b>c</ul>d<p>e<p>f</b><script>x<y</script>g<br>h</x>")
     assert [w for _, w in page.blocks] == ["a", "b <c", "d", "e", "fg h"]
