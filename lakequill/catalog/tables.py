@@ -243,7 +243,8 @@ def _asked_sql(name, column, x, ops=_OPS):
     "table_answers",
     f"""{_asked_sql("customer", "c_mktsegment", "c_acctbal")} UNION ALL {_asked_sql("orders", "o_orderpriority", "o_totalprice", _OPS[:1])}
     UNION ALL SELECT 'part|' || p_type, 'count', CAST(count(*) AS DOUBLE) FROM part GROUP BY p_type
-    UNION ALL SELECT 'one|' || c_name, 'mean', round(c_acctbal, 2) FROM customer WHERE c_custkey % 50 = 0""",
+    UNION ALL SELECT 'one|' || c_name, 'mean', round(c_acctbal, 2) FROM customer
+    UNION ALL SELECT 'pair|customer', 'correlation', round(corr(c_acctbal, c_nationkey), 2) FROM customer""",
 )
 def table_answers(spark, folder):
     """All questions over three tables in one plan; c_name has far more than 200 values."""
@@ -252,8 +253,9 @@ def table_answers(spark, folder):
     asked = asked.unionByName(_asked(orders, "o_orderpriority", "orders", "Give the %s o_totalprice of orders with priority %s", _OPS[:1]))
     kinds = part.select(F.col("p_type").alias("v")).distinct()
     asked = asked.unionByName(kinds.select(F.concat(F.lit("part|"), "v").alias("qid"), F.format_string("How many parts have the type %s?", "v").alias("question"), F.lit("part").alias("path"), F.lit(1).alias("rank")))
-    people = customer.filter("c_custkey % 50 = 0").select(F.concat(F.lit("one|"), "c_name").alias("qid"), F.format_string("What is the average c_acctbal of %s?", "c_name").alias("question"), F.lit("customer").alias("path"), F.lit(1).alias("rank"))
-    asked = asked.unionByName(people)
+    people = customer.select(F.concat(F.lit("one|"), "c_name").alias("qid"), F.format_string("What is the average c_acctbal of %s?", "c_name").alias("question"), F.lit("customer").alias("path"), F.lit(1).alias("rank"))
+    pair = spark.createDataFrame([("pair|customer", "What is the correlation of 'c_acctbal' and 'c_nationkey'?", "customer", 1)], asked.schema)
+    asked = asked.unionByName(people).unionByName(pair)
     cells = Q.long_table(customer, "customer", "c_custkey").unionByName(Q.long_table(orders, "orders", "o_orderkey")).unionByName(Q.long_table(part.select("p_partkey", "p_type"), "part", "p_partkey"))
     found = Q.answer_tables(asked.select("qid", "question"), asked.select("qid", "path", "rank"), cells)
     return found.select("qid", "operation", F.round("value", 2).alias("value"))
