@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.text import has_any, match_key
 from ..operators import tableqa as Q
 from ..operators import tables as T
-from ..scale import table
+from ..operators.answering import extract_sentences
+from ..plans import cascade
+from ..scale import settle, table
 from .registry import query
 
 
@@ -259,3 +261,37 @@ def table_answers(spark, folder):
     cells = Q.long_table(customer, "customer", "c_custkey").unionByName(Q.long_table(orders, "orders", "o_orderkey")).unionByName(Q.long_table(part.select("p_partkey", "p_type"), "part", "p_partkey"))
     found = Q.answer_tables(asked.select("qid", "question"), asked.select("qid", "path", "rank"), cells)
     return found.select("qid", "operation", F.round("value", 2).alias("value"))
+
+
+@query(
+    "cascade_answers",
+    """SELECT 'sql|' || l_orderkey AS qid, CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS answer, 'sql_sum' AS strategy, 'dumps/' || l_orderkey || '.sql' AS source FROM lineitem GROUP BY l_orderkey
+    UNION ALL SELECT 'roster|' || l_orderkey, CAST(arg_max(l_linenumber, l_quantity * 100 + l_linenumber) AS VARCHAR), 'context_roster', 'rosters/' || l_orderkey || '.txt' FROM lineitem GROUP BY l_orderkey
+    UNION ALL SELECT 'table|' || c_mktsegment, CAST(count(*) AS VARCHAR), 'table_count', 'customer' FROM customer GROUP BY c_mktsegment
+    UNION ALL SELECT 'text|' || p_partkey, 'The item ' || p_name || ' comes from ' || p_brand || '.', 'extractive_fallback', 'parts/' || p_partkey || '.txt' FROM part""",
+)
+def cascade_answers(spark, folder):
+    """Dumps of orders, rosters, a table and texts, each asked in one run of the solvers."""
+    lines, customer, part = (table(spark, folder, n) for n in ("lineitem", "customer", "part"))
+    order = F.col("l_orderkey").cast("string")
+    row = F.format_string("(%s, '%s', %s, '%s')", F.col("l_quantity").cast("string"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"), F.col("l_linenumber").cast("string"), "l_returnflag")
+    people = F.array_join(F.transform(F.sequence(F.lit(1), F.col("l_quantity").cast("int")), lambda i: F.concat(F.lit("m"), i.cast("string"))), ", ")
+    project = F.concat(F.lit("Project "), F.col("l_linenumber").cast("string"), F.lit(": work\nMembers: "), people)
+    joined = lambda c, by: F.array_join(F.array_sort(F.collect_list(c)), by)  # noqa: E731  the lines of one order
+    texts = lines.groupBy(order.alias("o")).agg(joined(row, ", ").alias("rows"), joined(project, "\n").alias("roster"))
+    ddl = "CREATE TABLE lines (line INTEGER, code VARCHAR(9), quantity DECIMAL(12,2), flag CHAR(1), PRIMARY KEY (line));\nINSERT INTO lines (quantity, code, line, flag) VALUES "
+    files = texts.select(F.concat(F.lit("sql|"), "o").alias("qid"), F.lit("What is the total quantity of code?").alias("question"), F.concat(F.lit("dumps/"), "o", F.lit(".sql")).alias("relative_path"),
+                         F.lit("table").alias("modality"), F.lit(".sql").alias("extension"), F.concat(F.lit(ddl), "rows", F.lit(";")).alias("content"))
+    files = files.unionByName(texts.select(F.concat(F.lit("roster|"), "o").alias("qid"), F.lit("Which project has the most members?").alias("question"), F.concat(F.lit("rosters/"), "o", F.lit(".txt")).alias("relative_path"),
+                                           F.lit("document").alias("modality"), F.lit(".txt").alias("extension"), F.col("roster").alias("content")))
+    key = F.col("p_partkey").cast("string")
+    files = files.unionByName(part.select(F.concat(F.lit("text|"), key).alias("qid"), F.concat(F.lit("Where does the item "), "p_name", F.lit(" come from?")).alias("question"), F.concat(F.lit("parts/"), key, F.lit(".txt")).alias("relative_path"),
+                                          F.lit("document").alias("modality"), F.lit(".txt").alias("extension"), F.concat(F.lit("The item "), "p_name", F.lit(" comes from "), "p_brand", F.lit(". Sold since long ago.")).alias("content")))
+    segments = customer.select("c_mktsegment").distinct().select(F.concat(F.lit("table|"), "c_mktsegment").alias("qid"), F.concat(F.lit("How many customers are in the segment "), "c_mktsegment", F.lit("?")).alias("question"),
+                                                                 F.lit("customer").alias("relative_path"), F.lit("table").alias("modality"), F.lit(".csv").alias("extension"), F.lit("Customers by segment.").alias("content"))
+    files = settle(files.unionByName(segments))
+    asked = files.select("qid", "question", F.lit("table").alias("modality_hint"), F.lit("").alias("answer_type"))
+    candidates = files.select("qid", "relative_path", "modality", "extension", F.lit("explicit_file").alias("reason"), F.lit(1).alias("rank"))
+    sentences = extract_sentences(files.select("qid", F.lit(1).alias("pos"), "relative_path", F.col("content").alias("text")), asked)
+    found = cascade.solve(asked, candidates, files.select("relative_path", "extension", "content").distinct(), Q.long_table(customer, "customer", "c_custkey"), sentences)
+    return found.select("qid", "answer", "strategy", F.element_at("evidences", 1).alias("source"))

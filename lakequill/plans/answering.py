@@ -11,12 +11,12 @@ from ..config import EngineConfig
 from ..functions.answers import json_object
 from ..functions.questions import merge_model_analysis, profile
 from ..operators import answering as O
-from ..operators import tableqa as Q
 from ..operators.chunking import lake_chunks
 from ..operators.hybrid import retrieval_index, retrieve, top_chunks
 from ..providers.base import Providers, ask
 from ..scale import settle
 from ..sources import sinks
+from .cascade import solve
 
 _PROFILE = (
     "language string, modality_hint string, keywords array<string>, requires_computation boolean, "
@@ -65,27 +65,13 @@ def answer_blocks(profiles: DataFrame, blocks: DataFrame, providers: Providers)
     return model.unionByName(fallback.join(model.select("qid"), "qid", "left_anti"))
 
 
-def table_answers(profiles: DataFrame, candidates: DataFrame, cells: DataFrame) -> DataFrame:
-    """(qid, answer, evidences, strategy) for questions that compute over a table among their candidates.
-
-    A candidate counts if the question names it, or asks for a table.
-    """
-    named = F.col("reason").isin("explicit_pattern", "explicit_file", "explicit_text", "filename_in_question")
-    tables = candidates.filter("modality = 'table'").join(profiles.select("qid", "question", "modality_hint"), "qid")
-    tables = tables.filter(named | (F.col("modality_hint") == "table")).select("qid", "question", F.col("relative_path").alias("path"), "rank")
-    found = Q.answer_tables(tables.select("qid", "question").distinct(), tables.select("qid", "path", "rank"), cells)
-    return found.select(
-        "qid", Q.answer_text(F.col("label"), F.col("value")).alias("answer"), F.array("path").alias("evidences"), F.concat(F.lit("table_"), "operation").alias("strategy")
-    )
-
-
 def run(
     questions: DataFrame, manifest: DataFrame, config: EngineConfig = EngineConfig(), providers: Providers | None = None, cells: DataFrame | None = None,
 ) -> Run:
     """Questions (qid, question, answer_type) over a manifest with ``content``.
 
     ``cells`` are the long rows of the lake's tables (path as in the manifest's
-    ``relative_path``); with them, computed answers come before sentences.
+    ``relative_path``).  Dumps, rosters and tables answer before sentences (cascade).
     """
     providers = providers or Providers()
     profiles = analyse(questions, providers)
@@ -96,11 +82,7 @@ def run(
     texts = _candidate_text(candidates, best, manifest)
     flagged = candidates.join(profiles.select("qid", "needs_multiple_sources"), "qid")
     blocks = settle(_blocks(flagged, texts, config))
-    answers = answer_blocks(profiles, blocks, providers)
-    if cells is not None:
-        computed = settle(table_answers(profiles, candidates, cells))
-        answers = computed.unionByName(answers.join(computed.select("qid"), "qid", "left_anti"))
-    answers = settle(answers)
+    answers = settle(solve(profiles, candidates, manifest, cells, answer_blocks(profiles, blocks, providers)))
     every = profiles.select("qid").join(answers, "qid", "left").select(
         "qid", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("evidences", F.array().cast("array<string>")).alias("evidences"),
         F.coalesce("strategy", F.lit("no_candidates")).alias("strategy"),
