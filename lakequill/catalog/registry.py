@@ -13,7 +13,7 @@ from ..session import ship_package
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-FAMILIES = ("text", "retrieval", "vectors", "metrics", "tables", "questions", "answers", "lake", "layout", "chunksets")
+FAMILIES = ("text", "retrieval", "vectors", "metrics", "tables", "questions", "answers", "lake", "layout", "chunksets", "joins")
 
 
 def query(name: str, sql: str | None = None):
