@@ -12,7 +12,7 @@ from ..operators import chunking as C
 from ..operators import hybrid as H
 from ..operators import bounded as B
 from ..operators.containment import contains_pairs, passages_in_texts
-from ..operators.direct import direct_matches, glob_matches
+from ..operators.direct import direct_matches, glob_matches, named_in_question, path_names, quoted_groups
 from ..operators.ranking import top_k
 from ..scale import settle, table, widen
 from ..sources.manifest import documents_as_files
@@ -311,3 +311,47 @@ def glob_filter(spark, folder):
     globs = sources.select("source", F.concat(F.lit("*"), F.regexp_replace("source", "src", ""), F.lit("?ref=*")).alias("glob"))
     files = table(spark, folder, "pages").select("url", F.col("url").alias("_key"))
     return glob_matches(globs, files, nid="source", pattern_col="glob", path="url", path_key="_key", any_folder=False).select("source", "url")
+
+
+_URLS = """urls AS (SELECT DISTINCT regexp_extract(url, '^[^:]*://([^?#]*)', 1) AS path FROM pages),
+    k AS (SELECT path, trim(regexp_replace(lower(path), '[^a-z0-9_./* -]+', ' ', 'g')) AS key FROM urls),
+    hosts AS (SELECT DISTINCT split_part(path, '/', 1) AS host FROM urls), folders AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder FROM urls),
+    q AS (SELECT 'part|' || split_part(path, '/', 2) AS qid, split_part(path, '/', 2) AS phrase FROM urls GROUP BY ALL UNION ALL SELECT 'host|' || host, host FROM hosts UNION ALL SELECT 'folder|' || folder, folder FROM folders)"""
+
+
+def page_paths(spark, folder):
+    """Urls of pages without scheme, query and fragment, as paths of files."""
+    return table(spark, folder, "pages").select(F.regexp_extract("url", "^[^:]*://([^?#]*)", 1).alias("relative_path")).distinct()
+
+
+def folder_questions(paths):
+    step = F.split("relative_path", "/")
+    at = lambda n: F.coalesce(F.get(step, F.lit(n)), F.lit(""))
+    ask = lambda kind, phrase: paths.select(phrase.alias("p")).distinct().select(F.concat(F.lit(kind + "|"), "p").alias("qid"), F.concat(F.lit('How many files are in "'), "p", F.lit('"?')).alias("question"))
+    return ask("part", at(1)).unionByName(ask("host", at(0))).unionByName(ask("folder", F.concat(at(0), F.lit("/"), at(1))))
+
+
+@query(
+    "quoted_folder_files",
+    f"""WITH {_URLS} SELECT qid, count(*) AS n_files, min(path) AS first_path FROM q JOIN k
+        ON list_contains(string_split(key, '/'), lower(phrase)) OR starts_with(key, lower(phrase) || '/') WHERE phrase <> '' GROUP BY qid""",
+)
+def quoted_folder_files(spark, folder):
+    """Files of the folders and path parts that questions quote."""
+    paths = settle(page_paths(spark, folder))
+    found = quoted_groups(folder_questions(paths), path_names(paths))
+    return found.groupBy("qid").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"))
+
+
+@query(
+    "named_paths",
+    f"""WITH {_URLS}, asked AS (SELECT qid, phrase, trim(regexp_replace(lower('How many files are in "' || phrase || '"?'), '[^a-z0-9_./* -]+', ' ', 'g')) AS text FROM q),
+    names AS (SELECT DISTINCT path, name FROM (SELECT path, unnest(list_concat([key, regexp_replace(string_split(key, '/')[-1], '([^.])\\.[^.]*$', '\\1')], string_split(key, '/'))) AS name FROM k) WHERE name <> ''),
+    found AS (SELECT DISTINCT qid, path FROM asked JOIN names ON contains(text, name) UNION SELECT qid, path FROM asked JOIN k ON phrase <> '' AND contains(key, lower(phrase)))
+    SELECT qid, count(*) AS n_files, min(path) AS first_path FROM found GROUP BY qid""",
+)
+def named_paths(spark, folder):
+    """Files of which questions hold the path, the name or a part, or quote a piece of the path."""
+    paths = settle(page_paths(spark, folder))
+    found = named_in_question(folder_questions(paths), paths)
+    return found.groupBy("qid").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"))

@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--top-k", type=int, default=defaults.top_k)
     run.add_argument("--min-relevance", type=float, default=defaults.min_relevance)
     run.add_argument("--limit", type=int, default=None, help="answer only the first questions")
+    bench.add_argument("--vector-store", default=None, help="folder of stored chunk vectors; only new texts are encoded")
     bench.add_argument("--methods", nargs="+", default=["naive_fixed", "naive_semantic", "pic"])
     return p
 
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None) -> None:
         lost = wanted.join(pairs, "source", "left_anti").select("qid")
         expected = wanted.join(pairs, "source").select("qid", "file").distinct().join(lost, "qid", "left_anti")
         docs = manifest.select(F.col("relative_path").alias("file"), F.col("content").alias("text"))
-        table = chunk_bench.compare(docs, asked, expected, tuple(args.methods), ChunkBenchConfig(), HashingEmbedder(), None)
+        table = chunk_bench.compare(docs, asked, expected, tuple(args.methods), ChunkBenchConfig(), HashingEmbedder(), None, store=(args.vector_store, "hashing") if args.vector_store else None)
         sinks.write_json(table, f"{args.output}/summary")
         return
     asked = questions.select(F.col("id").alias("qid"), "question", "answer_type")

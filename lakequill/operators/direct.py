@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, glob_regex, slashes, stem
+from ..functions.questions import quoted_phrases
 from ..functions.text import match_key
+from ..scale import broadcast_if_small, settle
 from .containment import contains_pairs
 
 _LATE = 1 << 30
@@ -108,3 +110,36 @@ def direct_matches(profiles: DataFrame, manifest: DataFrame, *, inline_wildcards
     named = named.select("qid", "path", F.lit(_LATE).alias("ord"), F.lit("filename_in_question").alias("reason"))
     every = equal.unionByName(inside).unionByName(matched).unionByName(named)
     return every.groupBy("qid", "path").agg(F.min_by("reason", "ord").alias("reason"))
+
+
+def path_names(manifest: DataFrame, path: str = "relative_path") -> DataFrame:
+    """(path, key, part): the keys of a file's path parts (part true) and of the folders that lead to it, each once."""
+    p = slashes(F.col(path))
+    parts = F.transform(F.split(p, "/"), match_key)
+    steps = F.split(match_key(p), "/")
+    above = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/")))
+    named = lambda keys, part: F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(k.alias("key"), F.lit(part).alias("part")))
+    names = F.array_distinct(F.concat(named(parts, True), named(above, False)))
+    return manifest.select(F.col(path).alias("path"), F.inline_outer(names)).filter("key <> ''")
+
+
+def quoted_groups(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, path) of all files in a folder, or with a path part, that the question (qid, question) quotes."""
+    phrases = questions.select("qid", F.explode_outer(quoted_phrases(F.col("question"))).alias("_p")).select("qid", F.replace(match_key(F.col("_p")), F.lit("\\"), F.lit("/")).alias("key"))
+    return broadcast_if_small(phrases.filter("key <> ''").distinct()).join(names, "key").select("qid", "path").distinct()
+
+
+def named_in_question(questions: DataFrame, manifest: DataFrame, path: str = "relative_path") -> DataFrame:
+    """(qid, path): the question holds the path, its name, its stem or any of its parts, or quotes a piece of the path.
+
+    Names are compared once, however many files share them.
+    """
+    files = file_keys(manifest, path)
+    own = files.select("path", F.explode(F.array("path_key", "stem_key")).alias("key"))
+    parts = path_names(manifest, path).filter("part").select("path", "key")
+    keys = settle(own.unionByName(parts).filter("key <> ''").distinct())
+    asked = questions.select("qid", match_key(F.col("question")).alias("_q"))
+    said = contains_pairs(asked, keys.select("key").distinct(), hid="qid", hay_col="_q", nid="key", needle_col="key").join(keys, "key").select("qid", "path")
+    quoted = questions.select("qid", F.explode_outer(quoted_phrases(F.col("question"))).alias("_p")).select("qid", match_key(F.col("_p")).alias("phrase")).filter("phrase <> ''").distinct()
+    held = contains_pairs(files, quoted.select("phrase").distinct(), hid="path", hay_col="path_key", nid="phrase", needle_col="phrase")
+    return said.unionByName(held.join(quoted, "phrase").select("qid", "path")).distinct()
