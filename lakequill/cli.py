@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .config import ChunkBenchConfig, EngineConfig
 from .operators import answering as O
+from .operators.recall import recall_report, recall_summary
 from .operators.tableqa import long_cells
 from .plans import answering, chunk_bench
 from .session import ship_package
 from .providers.base import HashingEmbedder
+from .scale import settle
 from .sources import lake, sinks, tabular
 
 
@@ -77,6 +79,11 @@ def main(argv: list[str] | None = None) -> None:
     if not broken.isEmpty():
         print(sinks.markdown_table(broken))
     answering.write(result, args.output)
+    expected = questions.join(asked.select(F.col("qid").alias("id")), "id", "left_semi").select(F.col("id").alias("qid"), F.explode("expected_sources").alias("source"))
+    if not expected.isEmpty():
+        report = settle(recall_report(asked, result.candidates, expected, manifest.select(F.col("relative_path").alias("path"))))
+        sinks.write_csv(report, f"{args.output}/recall")
+        print(sinks.markdown_table(recall_summary(report)))
 
 
 if __name__ == "__main__":
