@@ -93,3 +93,23 @@ def test_repair_mojibake(spark):
     got = spark.createDataFrame(rows, "broken string, want string").select(repair_mojibake(F.col("broken")).alias("got"), "want").collect()
     for r in got:
         assert r["got"] == r["want"]
+
+
+def test_key_drops_what_the_published_pattern_drops(spark):
+    from lakequill.fixed_values import MATCH_KEY_DROP, VIETNAMESE_LETTERS
+    from lakequill.functions.questions import _VIETNAMESE
+    from lakequill.functions.text import _DROP
+
+    letters = [chr(n) for n in [*range(1, 0xD800), *range(0xE000, 0x20000)]]
+    rows = ["".join(f"a {c}{c} -{c}!z" for c in letters[at : at + 256]) for at in range(0, len(letters), 256)] + letters[:0x2000]
+    texts = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert texts.filter(F.regexp_replace("t", _DROP, " ") != F.regexp_replace("t", MATCH_KEY_DROP, " ")).count() == 0
+    assert texts.filter(F.col("t").rlike(_VIETNAMESE) != F.col("t").rlike(f"[{VIETNAMESE_LETTERS}]")).count() == 0
+
+
+def test_key_is_made_once(spark):
+    """A text inlined into every test and branch was folded dozens of times per question."""
+    from lakequill.functions.questions import language
+
+    plan = spark.createDataFrame([("Bao nhiêu?",)], "q string").select(language(F.col("q")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2
