@@ -87,3 +87,10 @@ def test_passes_leave_texts_where_they_are(spark):
     assert "hashpartitioning(file" not in found._jdf.queryExecution().executedPlan().toString()
     assert dict(ix.texts.dtypes)["grams"] == "binary"  # not an object for each gram
     assert [r.file for r in found.collect()] == ["f1"]
+
+
+def test_rows_of_one_id_in_several_partitions_count_once(spark):
+    texts = spark.createDataFrame([(i % 4, f"word{i % 4} here") for i in range(16)], "id int, text string").repartition(6)
+    asks = spark.createDataFrame([(1, "word1 word2")], "q int, ask string")
+    built = B.index(texts, asks, signals=[B.GRAMS], id_col="id", text_col="text", qid="q", query_col="ask")
+    assert sorted(r.id for r in B.best_texts(built, 4).collect()) == [0, 1, 2, 3]
